@@ -28,7 +28,11 @@ FRAGMENT_RATIO, FRAGMENT_RATIO_USUAL = 4, 10
 #: Rows of one length and source, and times the mean of the ten lengths before and after, that show a limit.
 LIMIT_ROWS, LIMIT_RATIO = 12, 5
 
-_STRIP = r"(\\s*(\\.\\.+|…|�|&(a|am|amp|l|lt|g|gt|q|qu|quo|quot|#\\d*)?))+\\s*$"
+_MARK = r"(\\.\\.+|…|�|&(a|am|amp|l|lt|g|gt|q|qu|quo|quot|#\\d*)?)"
+
+#: The words of a value: lower case, without marks of a cut at the end, with one sign for all digits.
+_BODY = rf"""filter(split(translate(lower(
+  CASE WHEN right(value, 24) RLIKE '{_MARK}\\s*$' THEN regexp_replace(value, '(\\s*{_MARK})+\\s*$', '') ELSE value END), '123456789', '000000000'), '\\s+'), w -> w <> '')"""
 
 VALUES = r"""
 SELECT {key} AS key, {source} AS source, f.field, f.value FROM {{table}}
@@ -36,19 +40,12 @@ LATERAL VIEW inline(array({fields})) f AS field, value
 WHERE f.value RLIKE '[^\\s.…�]'
 """
 
-WORDS = rf"""
-SELECT field, value, n, marked, filter(split(body, '\\s+'), w -> w <> '') AS w FROM (
-  SELECT field, value, n, value RLIKE '(\\.\\.+|…|�|&(a|am|amp|l|lt|g|gt|q|qu|quo|quot|#\\d*)?)\\s*$' AS marked,
-    regexp_replace(lower(regexp_replace(value, '{_STRIP}', '')), '[0-9]', '0') AS body
-  FROM (SELECT field, value, count(*) AS n FROM {{rows}} GROUP BY field, value))
-"""
-
-GRAMS = """
+GRAMS = f"""
 SELECT field, g.a, g.b, g.c, sum(if(g.last, 0, n)) AS inside, sum(if(g.last, n, 0)) AS ends FROM (
   SELECT field, n, explode(transform(w, (c, i) -> struct(
     CASE WHEN i >= 2 THEN w[i - 2] ELSE '' END AS a, CASE WHEN i >= 1 THEN w[i - 1] ELSE '' END AS b, c,
     i = size(w) - 1 AS last))) AS g
-  FROM {words})
+  FROM (SELECT field, {_BODY} AS w, n FROM (SELECT field, value, count(*) AS n FROM {{rows}} GROUP BY field, value)))
 GROUP BY field, g.a, g.b, g.c
 """
 
@@ -56,15 +53,20 @@ PAIRS = "SELECT field, b, c, sum(inside) AS inside, sum(ends) AS ends FROM {gram
 
 SINGLES = "SELECT field, c, sum(inside) AS inside, sum(ends) AS ends FROM {pairs} GROUP BY field, c"
 
-#: How often a longer word begins with the fragment, by the word before it, for fragments at ends only.
+#: How often a longer word begins with a fragment: after the word before it, and anywhere.
 LONGER = """
-SELECT p.field, p.b, p.part AS c, sum(p.n) AS longer FROM (
-  SELECT field, b, explode(transform(sequence(1, least(length(c) - 1, 40)), n -> left(c, n))) AS part, inside + ends AS n
-  FROM {pairs} WHERE length(c) > 1) p
-GROUP BY p.field, p.b, p.part
+SELECT h, sum(n) AS longer FROM (
+  SELECT explode(transform(sequence(1, length(c) - 1), k -> xxhash64(field, b, left(c, k)))) AS h, inside + ends AS n
+  FROM {pairs} WHERE length(c) > 1)
+GROUP BY h
 """
 
-LONGER_WORDS = "SELECT field, c, sum(longer) AS longer FROM {longer} GROUP BY field, c"
+LONGER_WORDS = """
+SELECT h, sum(n) AS longer FROM (
+  SELECT explode(transform(sequence(1, length(c) - 1), k -> xxhash64(field, left(c, k)))) AS h, inside + ends AS n
+  FROM {singles} WHERE length(c) > 1)
+GROUP BY h
+"""
 
 LIMITS = """
 SELECT source, field, len FROM (
@@ -74,19 +76,22 @@ SELECT source, field, len FROM (
 WHERE n >= {limit_rows} AND n >= {limit_ratio} * near AND len >= 16
 """
 
+#: Every final trigram with its counts, those of its last pair and last word, and of longer words.
 ENDS = """
-SELECT e.field, e.value, e.marked, e.size,
-  g.inside AS inside3, g.ends - 1 AS ends3, p.inside AS inside2, p.ends - 1 AS ends2, s.inside AS inside1, s.ends - 1 AS ends1,
+SELECT xxhash64(field, a, b, c) AS h, g.inside AS inside3, g.ends - 1 AS ends3, p.inside AS inside2, p.ends - 1 AS ends2, s.inside AS inside1, s.ends - 1 AS ends1,
   coalesce(l.longer, 0) AS longer2, coalesce(lw.longer, 0) AS longer1
-FROM (
-  SELECT field, value, marked, size(w) AS size, w[size(w) - 1] AS c,
-    CASE WHEN size(w) >= 2 THEN w[size(w) - 2] ELSE '' END AS b, CASE WHEN size(w) >= 3 THEN w[size(w) - 3] ELSE '' END AS a
-  FROM {words} WHERE size(w) > 0) e
-JOIN {grams} g USING (field, a, b, c)
+FROM (SELECT * FROM {grams} WHERE ends > 0 AND b <> '') g
 JOIN {pairs} p USING (field, b, c)
 JOIN {singles} s USING (field, c)
-LEFT JOIN {longer} l USING (field, b, c)
-LEFT JOIN {longer_words} lw USING (field, c)
+LEFT JOIN {longer} l ON l.h = xxhash64(g.field, g.b, g.c)
+LEFT JOIN {longer_words} lw ON lw.h = xxhash64(g.field, g.c)
+"""
+
+#: Each value by the hash of its final trigram.
+TAILS = rf"""
+SELECT key, source, field, length(value) AS len, right(value, 24) RLIKE '{_MARK}\\s*$' AS marked,
+  xxhash64(field, CASE WHEN size(w) >= 3 THEN w[size(w) - 3] ELSE '' END, CASE WHEN size(w) >= 2 THEN w[size(w) - 2] ELSE '' END, w[size(w) - 1]) AS h
+FROM (SELECT *, {_BODY} AS w FROM {{rows}}) WHERE size(w) > 0
 """
 
 
@@ -94,14 +99,12 @@ def _run(df: DataFrame, sql: str, **views) -> DataFrame:
     return df.sparkSession.sql(sql, **views)
 
 
-def value_ends(rows: DataFrame) -> DataFrame:
-    """(field, value, marked, size, counts of its final trigram, pair and word) of every distinct value."""
-    words = cut(_run(rows, WORDS, rows=rows), "words")
-    grams = cut(_run(rows, GRAMS, words=words), "grams")
+def final_trigrams(rows: DataFrame) -> DataFrame:
+    """(h, counts) of every different final trigram, by its hash."""
+    grams = cut(_run(rows, GRAMS, rows=rows), "grams")
     pairs = cut(_run(rows, PAIRS, grams=grams), "pairs")
-    singles = _run(rows, SINGLES, pairs=pairs)
-    longer = cut(_run(rows, LONGER, pairs=pairs), "longer")
-    return _run(rows, ENDS, words=words, grams=grams, pairs=pairs, singles=singles, longer=longer, longer_words=_run(rows, LONGER_WORDS, longer=longer))
+    singles = cut(_run(rows, SINGLES, pairs=pairs), "singles")
+    return _run(rows, ENDS, grams=grams, pairs=pairs, singles=singles, longer=_run(rows, LONGER, pairs=pairs), longer_words=_run(rows, LONGER_WORDS, singles=singles))
 
 
 def field_rows(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
@@ -124,24 +127,19 @@ def never_ends(least: float) -> F.Column:
 
 
 def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
-    """(key, source, field, value) of each value that stops short.
+    """(key, source, field) of each value that stops short.
 
     Null and blank values and values of dots alone are never cut; repeated rows come out as often as they
-    go in; the words of very long values all count. An empty table gives an empty result.
+    go in; the words of very long values all count. An empty table gives an empty result. Only hashes of
+    final trigrams travel with the rows, and only the trigrams that show a cut with them.
     """
     rows = field_rows(df, key, source, fields)
-    ends = value_ends(rows)
-    verdict = ends.select(
-        "field", "value",
-        (F.col("marked") | ((F.col("size") > 1) & never_ends(RARE_END))).alias("short"),
-        ((F.col("size") > 1) & never_ends(RARE_END_AT_LIMIT)).alias("short_at_limit"),
-    ).filter("short OR short_at_limit")
+    verdict = final_trigrams(rows).select("h", never_ends(RARE_END).alias("short"), never_ends(RARE_END_AT_LIMIT).alias("short_at_limit")).filter("short OR short_at_limit")
     limits = _run(df, LIMITS.format(rows="{rows}", limit_rows=LIMIT_ROWS, limit_ratio=LIMIT_RATIO), rows=rows)
     limits = limits.withColumn("limited", F.lit(True))
-    found = rows.join(verdict, ["field", "value"]).withColumn("len", F.length("value"))
-    found = found.join(limits, ["source", "field", "len"], "left")
-    found = found.filter(F.col("short") | F.col("limited"))
-    return found.select(F.col("key").alias(key), F.col("source").alias(source), "field", "value")
+    found = _run(df, TAILS, rows=rows).join(verdict, "h", "left").filter("marked OR short OR short_at_limit")
+    found = found.join(limits, ["source", "field", "len"], "left").filter("marked OR short OR limited AND short_at_limit")
+    return found.select(F.col("key").alias(key), F.col("source").alias(source), "field")
 
 
 def shares(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
