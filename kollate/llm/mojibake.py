@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Encodings in which UTF-8 was read.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-2", "iso8859-15")
@@ -126,10 +126,6 @@ _c1 = regex.compile(r"[\x80-\x9f]")
 _entity = regex.compile(r"&#(1[2-9]\d|2[0-4]\d|25[0-5]);")
 #: A question mark inside a word or before one, or several in a row: where signs were lost to ASCII.
 _asked = regex.compile(r"[^\W_]\?+[^\W_]|(?:^|[\s(])\?+[^\W_]|(?:^|\s)\?+\s|[^\W_]\?{2,}(?=[^\s?])")
-#: Texts that need a look: anything but ASCII, or one of the above.
-SUSPECT = r"[^\x00-\x7f]|&#[12]\d\d;|[A-Za-z0-9]\?+[A-Za-z0-9]|(^|[\s(])\?"
-
-
 _odd_word = regex.compile(r"\S*[^\x00-\x7f]\S*")
 
 
@@ -212,8 +208,17 @@ def repair(text: str, patterns: dict[tuple[str, str, str], tuple[str, str]]) ->
     return bool(kinds) or lost, text, sorted(set(kinds)) + ["lost"] * lost
 
 
-def _place_counts(distinct: DataFrame) -> dict[tuple[str, str, str], int]:
-    """Counts of the places over all distinct texts, added up in each partition before the shuffle."""
+def suspect(text) -> Column:
+    """Texts that need a look: other signs than ASCII, entities, or question marks inside words or before them.
+
+    The dear tests run only where a cheap one holds.
+    """
+    asked = F.contains(text, F.lit("?")) & text.rlike(r"[A-Za-z0-9]\?+[A-Za-z0-9]|(^|[\s(])\?")
+    return (F.length(text) < F.octet_length(text)) | F.contains(text, F.lit("&#")) | asked
+
+
+def _place_counts(texts: DataFrame) -> dict[tuple[str, str, str], int]:
+    """Counts of the places over all texts, added up in each partition before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[str, str, str], int] = {}
@@ -224,7 +229,7 @@ def _place_counts(distinct: DataFrame) -> dict[tuple[str, str, str], int]:
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["b", "s", "a", "n"])
 
     wanted = sorted({c for pair in ONE_BYTE for e in pair for c in one_byte(e).values()})
-    counted = distinct.mapInPandas(count, "b string, s string, a string, n long").filter(F.col("s").isin(wanted))
+    counted = texts.mapInPandas(count, "b string, s string, a string, n long").filter(F.col("s").isin(wanted))
     return {(r.b, r.s, r.a): r.n for r in counted.groupBy("b", "s", "a").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -234,8 +239,8 @@ def restore(df: DataFrame, key: str, text: str) -> DataFrame:
     ``restored`` is null where signs were lost for good. Null, empty and plain ASCII texts are never garbled;
     repeated rows come out as often as they go in; other columns are ignored.
     """
-    plain = df.select(df[key].alias("key"), df[text].alias("text")).filter(F.col("text").rlike(SUSPECT))
-    table = one_byte_patterns(_place_counts(plain.select("text").distinct()))
+    plain = df.select(df[key].alias("key"), df[text].alias("text")).filter(suspect(F.col("text")))
+    table = one_byte_patterns(_place_counts(plain.select("text")))
     patterns = df.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
