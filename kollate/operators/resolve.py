@@ -95,9 +95,9 @@ def repair_truncated(rows: DataFrame, value: str, key: str, width: int) -> DataF
     """
     short = rows.select(F.col(value).alias("s")).filter(F.length("s") == width).distinct().withColumn("p", F.left(F.col("s"), F.lit(width // 2)))
     whole = rows.select(F.col(value).alias("w")).filter(F.length("w") != width).distinct().withColumn("p", F.left(F.col("w"), F.lit(width // 2)))
-    found = short.join(whole, "p").filter(F.startswith(F.col("w"), F.col("s"))).groupBy("s").agg(F.min("w").alias("one"), F.max("w").alias("other")).filter("one = other").select("s", "one")
-    joined = rows.join(found, rows[value] == F.col("s"), "left")
-    return joined.withColumn("repaired", F.coalesce("one", F.col(value))).withColumn("cut", F.when(F.length(value) == width, "F")).drop("s", "one")
+    found = short.join(whole, "p").filter(F.startswith(F.col("w"), F.col("s"))).groupBy("s").agg(F.min("w").alias("one"), F.max("w").alias("other")).filter("one = other").select(F.col("s").alias("__s"), F.col("one").alias("__one"))
+    joined = rows.join(found, rows[value] == F.col("__s"), "left")
+    return joined.withColumn("repaired", F.coalesce("__one", F.col(value))).withColumn("cut", F.when(F.length(value) == width, "F")).drop("__s", "__one")
 
 
 def repair_indels(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -114,9 +114,9 @@ def repair_indels(rows: DataFrame, group: str, value: str) -> DataFrame:
     k = F.array_max(F.filter(F.sequence(F.lit(0), F.length("a")), lambda i: F.left(F.col("a"), i) == F.left(F.col("b"), i)))
     sign = F.substring(F.col("b"), k + 1, F.lit(1))
     code = F.when(sign.rlike(r"(?U)\s"), "K").when(sign.rlike(r"(?U)[\p{L}\p{N}]"), "B").otherwise("R")
-    picked = picked.select("g", "a", "b", code.alias("indel"))
-    joined = rows.join(picked, (rows[group] == F.col("g")) & (rows[value] == F.col("a")), "left")
-    return joined.withColumn("repaired", F.coalesce("b", F.col(value))).drop("g", "a", "b")
+    picked = picked.select(F.col("g").alias("__g"), F.col("a").alias("__a"), F.col("b").alias("__b"), code.alias("indel"))
+    joined = rows.join(picked, (rows[group] == F.col("__g")) & (rows[value] == F.col("__a")), "left")
+    return joined.withColumn("repaired", F.coalesce("__b", F.col(value))).drop("__g", "__a", "__b")
 
 
 def duplicate_groups(rows: DataFrame, kind: str, title: str, institution: str, key: str) -> DataFrame:

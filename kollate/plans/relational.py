@@ -108,9 +108,9 @@ def seeded_sample(t):
     return t.works.select("row_id", "title").orderBy(F.xxhash64("row_id"), "row_id").limit(20)
 
 
-@query("SELECT vec_id, i AS position, round(CAST(embedding[i] AS DOUBLE), 5) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
+@query("SELECT vec_id, i AS position, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
 def unnest_with_position(t):
-    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", (F.col("p") + 1).cast("long").alias("position"), F.round(F.col("v").cast("double"), 5).alias("v"))
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("p", "v")).select("vec_id", (F.col("p") + 1).cast("long").alias("position"), F.col("v").cast("double").alias("v"))
 
 
 @query("SELECT canonical_id, row_id, institutions[1] AS first, len(institutions) AS n FROM era_research_outputs_canonical")
