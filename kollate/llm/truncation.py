@@ -30,9 +30,9 @@ LIMIT_ROWS, LIMIT_RATIO = 12, 5
 
 _MARK = r"(\\.\\.+|…|�|&(a|am|amp|l|lt|g|gt|q|qu|quo|quot|#\\d*)?)"
 
-#: The words of a value: lower case, without marks of a cut at the end, with one sign for all digits.
-_BODY = rf"""filter(split(translate(lower(
-  CASE WHEN right(value, 24) RLIKE '{_MARK}\\s*$' THEN regexp_replace(value, '(\\s*{_MARK})+\\s*$', '') ELSE value END), '123456789', '000000000'), '\\s+'), w -> w <> '')"""
+#: A value in lower case, without marks of a cut at the end, with one sign for all digits and one for all blanks.
+_BODY = rf"""trim(translate(lower(
+  CASE WHEN right(value, 24) RLIKE '{_MARK}\\s*$' THEN regexp_replace(value, '(\\s*{_MARK})+\\s*$', '') ELSE value END), '123456789\t\n\r ', '000000000    '))"""
 
 VALUES = r"""
 SELECT {key} AS key, {source} AS source, f.field, f.value FROM {{table}}
@@ -45,7 +45,7 @@ SELECT field, g.a, g.b, g.c, sum(if(g.last, 0, n)) AS inside, sum(if(g.last, n,
   SELECT field, n, explode(transform(w, (c, i) -> struct(
     CASE WHEN i >= 2 THEN w[i - 2] ELSE '' END AS a, CASE WHEN i >= 1 THEN w[i - 1] ELSE '' END AS b, c,
     i = size(w) - 1 AS last))) AS g
-  FROM (SELECT field, {_BODY} AS w, n FROM (SELECT field, value, count(*) AS n FROM {{rows}} GROUP BY field, value)))
+  FROM (SELECT field, split({_BODY}, ' +') AS w, n FROM (SELECT field, value, count(*) AS n FROM {{rows}} GROUP BY field, value)) WHERE w[0] <> '')
 GROUP BY field, g.a, g.b, g.c
 """
 
@@ -87,11 +87,16 @@ LEFT JOIN {longer} l ON l.h = xxhash64(g.field, g.b, g.c)
 LEFT JOIN {longer_words} lw ON lw.h = xxhash64(g.field, g.c)
 """
 
-#: Each value by the hash of its final trigram.
+#: Each value by the hash of its final trigram. The last words are taken from the end of the value, of which blanks in a row take more.
 TAILS = rf"""
-SELECT key, source, field, length(value) AS len, right(value, 24) RLIKE '{_MARK}\\s*$' AS marked,
+SELECT key, source, field, len, marked,
   xxhash64(field, CASE WHEN size(w) >= 3 THEN w[size(w) - 3] ELSE '' END, CASE WHEN size(w) >= 2 THEN w[size(w) - 2] ELSE '' END, w[size(w) - 1]) AS h
-FROM (SELECT *, {_BODY} AS w FROM {{rows}}) WHERE size(w) > 0
+FROM (
+  SELECT key, source, field, len, marked, t.w FROM (
+    SELECT key, source, field, length(value) AS len, right(value, 24) RLIKE '{_MARK}\\s*$' AS marked, b.body
+    FROM {{rows}} LATERAL VIEW inline(array(named_struct('body', {_BODY}))) b AS body)
+  LATERAL VIEW inline(array(named_struct('w', split(CASE WHEN contains(body, '  ') THEN body ELSE substring_index(body, ' ', -3) END, ' +')))) t AS w)
+WHERE w[0] <> ''
 """
 
 
