@@ -101,32 +101,34 @@ def survivor(candidates: list[dict]) -> dict:
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         won = [survivor([c.asDict() if hasattr(c, "asDict") else dict(c) for c in found]) for found in batch["found"]]
-        batch = batch[["work", "field"]].assign(**{k: [w[k] for w in won] for k in ("value", "first", "delivered", "trust")})
+        batch = batch[["work", "field", "n"]].assign(**{k: [w[k] for w in won] for k in ("value", "first", "delivered", "trust")})
         yield batch
 
 
 def survivors(values: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(work, field, value, first) of ``values``: work, field, value, first (row), delivered (long), trust, of usable values only."""
-    now = values.groupBy("work", "field", "value").agg(F.min("first").alias("first"), F.max("delivered").alias("delivered"), F.max("trust").alias("trust"))
-    now = cut(now, "values")
-    done = []
+    """(work, field, value, first) of ``values``: work, field, value, first (row), delivered (long), trust and n, of usable values.
+
+    ``n`` is how many rows the work has, so at least how many different values. Only works with more than
+    ``chunk`` rows are decided in rounds.
+    """
+    kept = ["value", "first", "delivered", "trust"]
+    now = values.groupBy("work", "field", "value").agg(F.min("first").alias("first"), F.max("delivered").alias("delivered"), F.max("trust").alias("trust"), F.max("n").alias("n"))
+    done = None
     for number in range(40):
-        counts = now.groupBy("work", "field").agg(F.count("*").alias("n"))
-        single = now.join(counts.filter("n = 1").select("work", "field"), ["work", "field"])
-        done.append(single.select("work", "field", "value", "first"))
-        several = now.join(counts.filter("n > 1"), ["work", "field"])
-        part = F.pmod(F.xxhash64("value", F.lit(number)), F.ceil(2 * F.col("n") / chunk))
-        gathered = several.withColumn("part", F.when(F.col("n") > chunk, part).otherwise(0)).groupBy("work", "field", "part")
-        gathered = gathered.agg(F.max("n").alias("n"), F.collect_list(F.struct("value", "first", "delivered", "trust")).alias("found"))
-        out = gathered.mapInPandas(_decide, "work long, field string, value string, first long, delivered long, trust int")
-        now = cut(out, "round")
-        if now.groupBy("work", "field").count().filter("count > 1").isEmpty():
-            done.append(now.select("work", "field", "value", "first"))
+        part = F.when(F.col("n") > chunk, F.pmod(F.xxhash64("value", F.lit(number)), F.ceil(2 * F.col("n") / chunk))).otherwise(F.lit(0))
+        gathered = now.groupBy("work", "field", part.alias("part")).agg(F.max("n").alias("n"), F.collect_list(F.struct(*kept)).alias("found"))
+        gathered = cut(gathered.select("work", "field", "n", "found"), "gathered")
+        alone = gathered.filter("size(found) = 1").select("work", "field", "n", F.inline("found"))
+        decided = gathered.filter("size(found) > 1").mapInPandas(_decide, "work long, field string, n long, value string, first long, delivered long, trust int")
+        both = cut(alone.unionByName(decided), "round")
+        final = both.filter(F.col("n") <= chunk).select("work", "field", "value", "first")
+        done = final if done is None else done.unionByName(final)
+        rest = both.filter(F.col("n") > chunk)
+        if rest.isEmpty():
             break
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return result
+        left = rest.groupBy("work", "field").agg(F.count("*").alias("m"))
+        now = rest.drop("n").join(left, ["work", "field"]).withColumn("n", F.when(F.col("m") > chunk, F.col("m")).otherwise(F.lit(1))).drop("m")
+    return done
 
 
 def filler(column) -> Column:
@@ -138,22 +140,24 @@ def usable_values(works: DataFrame, institutions: DataFrame) -> DataFrame:
 
     A title or outlet is no filler, neither cut nor garbled; a DOI is well-formed; a year is a year.
     """
-    again = works.groupBy("canonical_id").agg(F.count("*").alias("n")).filter("n > 1").select("canonical_id")
-    rows = works.join(again, "canonical_id", "left_semi").join(institutions.groupBy("institution").agg(F.max("trust_level").alias("trust")), F.col("delivered_by") == F.col("institution"), "left")
+    needed = works.select("canonical_id", "row_id", "title", "doi", "doi_wellformed", "reference_year", "outlet", "delivered_by", "delivered_at")
+    again = needed.groupBy("canonical_id").agg(F.count("*").alias("n")).filter("n > 1")
+    trust = institutions.select(F.col("institution").alias("delivered_by"), F.col("trust_level").alias("trust")).groupBy("delivered_by").agg(F.max("trust").alias("trust"))
+    # What can't be used is found over all rows, and joined by row before the fields are taken apart.
+    cuts = truncation.truncated(needed, "row_id", "delivered_by", ["title", "outlet"]).select("row_id", "field")
+    for field in ("title", "outlet"):
+        cuts = cuts.unionByName(mojibake.restore(needed, "row_id", field).select("row_id", F.lit(field).alias("field")))
+    bad = cuts.groupBy("row_id").agg(*[F.max(F.when(F.col("field") == f, True)).alias(f"bad_{f}") for f in ("title", "outlet")])
+    rows = needed.join(again, "canonical_id").join(bad, "row_id", "left").join(trust, "delivered_by", "left")
     fields = F.array(
-        F.struct(F.lit("title").alias("field"), F.col("title").alias("value")),
+        F.struct(F.lit("title").alias("field"), F.when(F.col("bad_title").isNull(), F.col("title")).alias("value")),
         F.struct(F.lit("doi").alias("field"), F.when(F.col("doi_wellformed"), F.col("doi")).alias("value")),
         F.struct(F.lit("reference_year").alias("field"), F.when(F.col("reference_year").between(*YEARS), F.col("reference_year").cast("string")).alias("value")),
-        F.struct(F.lit("outlet").alias("field"), F.col("outlet").alias("value")),
+        F.struct(F.lit("outlet").alias("field"), F.when(F.col("bad_outlet").isNull(), F.col("outlet")).alias("value")),
     )
     delivered = F.coalesce(F.unix_micros(F.col("delivered_at").cast("timestamp")), F.lit(-(2**62)))
-    values = rows.select("canonical_id", "row_id", "delivered_at", F.coalesce("trust", F.lit(0)).alias("trust"), F.inline(fields))
-    values = values.filter("value is not null").filter(~filler(F.col("value")))
-    values = values.select(F.col("canonical_id").alias("work"), F.col("row_id").alias("first"), "field", "value", delivered.alias("delivered"), "trust")
-    bad = truncation.truncated(works, "row_id", "delivered_by", ["title", "outlet"]).select(F.col("row_id").alias("first"), "field")
-    for field in ("title", "outlet"):
-        bad = bad.unionByName(mojibake.restore(works, "row_id", field).select(F.col("row_id").alias("first"), F.lit(field).alias("field")))
-    return values.join(bad.distinct(), ["first", "field"], "left_anti")
+    values = rows.select(F.col("canonical_id").alias("work"), F.col("row_id").alias("first"), delivered.alias("delivered"), F.coalesce("trust", F.lit(0)).alias("trust"), "n", F.inline(fields))
+    return values.filter("value is not null").filter(~filler(F.col("value")))
 
 
 def best_values(works: DataFrame, institutions: DataFrame) -> DataFrame:
