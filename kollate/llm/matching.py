@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kollate.llm import mojibake
 from kollate.session import cut
 
 SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN = 4, 8, 16, 6
+#: Bits of a block key, and of 64 sketch bits that must agree in the whole title or its main part.
+KEY_BITS, SKETCH_BITS = 40, 50
 #: Pairs of either weak label used to fit; a third of them only to calibrate.
 SAMPLE = 10_000
 #: Works of one title issued further apart are different works.
@@ -74,50 +75,74 @@ def isbn_core(column: Column) -> Column:
     return F.when(F.length(digits) == 13, F.substring(digits, 4, 9)).when(F.length(digits) == 10, F.substring(digits, 1, 9))
 
 
-def signature_udf(bands: int):
-    """Band keys of a string's shingles."""
-    rng = np.random.default_rng(20240229)
-    mult = (rng.integers(1, 2**63, bands, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    add = rng.integers(0, 2**63, bands, dtype=np.uint64)
-
-    def one(text: str) -> list[int]:
-        text = text.replace(" ", "")
-        if not text:
-            return []
-        shingles = {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
-        base = np.fromiter((xxhash.xxh3_64_intdigest(s) for s in shingles), np.uint64, len(shingles))
-        hashed = base[:, None] * mult + add
+class Signer:
+    """Band keys and a sketch of a string's shingles. The sketch has one bit of the smallest hash of each of 64 permutations."""
+
+    def __init__(self, bands: int):
+        rng = np.random.default_rng(20240229)
+        self.bands = bands
+        self.mult = (rng.integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.add = rng.integers(0, 2**63, 64, dtype=np.uint64)
+        self.powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        self.number = np.arange(bands, dtype=np.uint64)
+
+    def __call__(self, text: str) -> tuple[list[int], int]:
+        signs = np.frombuffer(text.replace(" ", "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if not len(signs):
+            return [], 0
+        base = np.zeros(max(1, len(signs) - SHINGLE + 1), np.uint64)
+        for k in range(min(SHINGLE, len(signs))):
+            base = base * np.uint64(0x9E3779B97F4A7C15) + signs[k : k + len(base)]
+        base ^= base >> np.uint64(32)
+        base = np.unique(base * np.uint64(0xD6E8FEB86659FD93))
+        hashed = base[:, None] * self.mult + self.add
         hashed ^= hashed >> np.uint64(29)
-        if len(hashed) > ROWS:
-            hashed = np.partition(hashed, ROWS - 1, axis=0)[:ROWS]
-        key = hashed.sum(axis=0, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)
-        return (key ^ (key >> np.uint64(31))).view(np.int64).tolist()
-
-    @F.pandas_udf("array<long>")
-    def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return keys
-
-
-def _titles(records: DataFrame) -> DataFrame:
-    """(t, whole, main, other, odd) of every different plain title; ``odd`` marks signs of another work."""
-    distinct = records.select("plain").distinct()
-    odd = F.regexp_extract("plain", OTHER_WORK, 0)
+        least = hashed.min(axis=0)
+        sketch = int((((least >> np.uint64(13)) & np.uint64(1)) * self.powers).sum(dtype=np.uint64).view(np.int64))
+        banded = hashed[:, : self.bands]
+        if len(banded) > ROWS:
+            banded = np.partition(banded, ROWS - 1, axis=0)[:ROWS]
+        key = (banded.sum(axis=0, dtype=np.uint64) + self.number) * np.uint64(0x9E3779B97F4A7C15)
+        return (key >> np.uint64(64 - KEY_BITS)).astype(np.int64).tolist(), sketch
+
+
+def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    whole, main = Signer(BANDS_WHOLE), Signer(BANDS_MAIN)
+    for batch in batches:
+        keys, w, m = [], [], []
+        for a, b in zip(batch["whole"], batch["main"]):
+            ka, sa = whole(a)
+            kb, sb = main(b)
+            keys.append(ka + [k ^ 0x5DEECE66D for k in kb])
+            w.append(sa)
+            m.append(sb)
+        yield pd.DataFrame({"t": batch["t"], "keys": keys, "w": w, "m": m})
+
+
+def _titles(records: DataFrame, name: str) -> DataFrame:
+    """(t, plain, whole, main, head and these without blanks, odd) of every different plain title; ``odd`` marks signs of another work."""
+    distinct = records.select("plain").distinct().withColumn("t", F.monotonically_increasing_id())
     bare = F.regexp_replace("plain", r"^(the|a|an) ", "")
-    return distinct.select(F.xxhash64("plain").alias("t"), "plain", squeezed(bare).alias("whole"), squeezed(main_part(bare)).alias("main"), squeezed(main_part(bare, ":;")).alias("head"), odd.alias("odd")).filter("whole <> ''")
+    first = distinct.select("t", "plain", squeezed(bare).alias("whole"), squeezed(main_part(bare)).alias("main"), squeezed(main_part(bare, ":;")).alias("head"), F.regexp_extract("plain", OTHER_WORK, 0).alias("odd"))
+    return cut(first.filter("whole <> ''"), name)  # written once: the numbers must not change
 
 
-def _bands(titles: DataFrame) -> DataFrame:
-    whole = titles.select("t", F.explode(signature_udf(BANDS_WHOLE)("whole")).alias("key"))
-    main = titles.select("t", F.explode(signature_udf(BANDS_MAIN)("main")).alias("key"))
-    return whole.unionByName(main.withColumn("key", F.col("key").bitwiseXOR(F.lit(0x5DEECE66D))))
+def _bands(signed: DataFrame) -> DataFrame:
+    return signed.select("t", F.explode("keys").alias("key"))
 
 
 def candidate_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r): different titles of the two sides that share a block."""
-    a, b = _bands(left).withColumnRenamed("t", "l"), _bands(right).withColumnRenamed("t", "r")
-    return a.join(b, "key").select("l", "r").distinct()
+    """(l, r): different titles of the two sides that share a block and whose sketches agree well enough.
+
+    The sketches drop pairs far from alike before their texts are fetched: of titles four fifths alike 58 of 64
+    bits agree, of titles half alike 48.
+    """
+    kind = "t long, keys array<long>, w long, m long"
+    a, b = cut(left.select("t", "whole", "main").mapInPandas(_sign, kind), "signed"), cut(right.select("t", "whole", "main").mapInPandas(_sign, kind), "signed")
+    pairs = _bands(a).withColumnRenamed("t", "l").join(_bands(b).withColumnRenamed("t", "r"), "key").select("l", "r").distinct()
+    pairs = pairs.join(a.select(F.col("t").alias("l"), F.col("w").alias("wl"), F.col("m").alias("ml")), "l").join(b.select(F.col("t").alias("r"), F.col("w").alias("wr"), F.col("m").alias("mr")), "r")
+    agree = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 64 - SKETCH_BITS
+    return pairs.filter(agree("wl", "wr") | agree("ml", "mr")).select("l", "r")
 
 
 def _tokens(titles: DataFrame) -> DataFrame:
@@ -127,6 +152,11 @@ def _tokens(titles: DataFrame) -> DataFrame:
     return counts.filter(F.col("n") >= max(4, KNOWN_SHARE * total)).select("token")
 
 
+def _once(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones, each computed once: the planner would copy them into every use."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: DataFrame) -> DataFrame:
     """What sets the titles of each candidate pair apart. Pairs with more edits than slips make are no matches and are left out.
 
@@ -140,23 +170,24 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
     near = lambda a, b: F.abs(size(a) - size(b)) <= 3
     both = pairs.join(l, "l").join(r, "r")
     part_l = F.when(near("whole_l", "whole_r"), F.col("whole_l")).when(near("head_l", "whole_r"), F.col("head_l")).when(near("main_l", "whole_r"), F.col("main_l")).otherwise(F.col("whole_l"))
-    both = both.withColumn("part_l", part_l).withColumn("dropped", (size("part_l") < size("whole_l")).cast("double"))
     longer = ~near("whole_l", "whole_r") & (size("whole_r") > size("whole_l")) & (near("head_r", "whole_l") | near("main_r", "whole_l"))
-    both = both.withColumn("longer", longer.cast("double"))
-    cut_off = (F.col("longer") == 0) & (size("whole_r") > size("whole_l") + 3) & (size("whole_l") > size("main_r") + 12)
-    both = both.withColumn("cut_off", cut_off.cast("double"))
+    both = _once(both, ["l", "r", "whole_l", "whole_r", "main_r"], part_l=part_l, longer=longer, other=(F.col("odd_l") != F.col("odd_r")))
+    cut_off = ~F.col("longer") & (size("whole_r") > size("whole_l") + 3) & (size("whole_l") > size("main_r") + 12)
     # A cut leaves the last word in doubt.
-    part_r = F.when(F.col("cut_off") + F.col("longer") > 0, F.substring(F.col("whole_r"), F.lit(1), size("whole_l"))).otherwise(F.col("whole_r"))
-    both = both.withColumn("part_r", part_r)
+    part_r = F.when(cut_off | F.col("longer"), F.substring(F.col("whole_r"), F.lit(1), size("whole_l"))).otherwise(F.col("whole_r"))
+    both = _once(both, ["l", "r", "part_l", "longer", "other"], part_r=part_r, cut_off=cut_off, dropped=size("part_l") < size("whole_l"))
     tight = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    both = both.select("l", "r", "part_l", "part_r", "dropped", "longer", "cut_off", (F.col("odd_l") != F.col("odd_r")).cast("double").alias("other"), tight("part_l").alias("a"), tight("part_r").alias("b"))
+    flags = ["dropped", "longer", "cut_off", "other"]
+    both = _once(both, ["l", "r", "part_l", "part_r", *flags], a=tight("part_l"), b=tight("part_r"))
     han = F.col("a").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     limit = F.when(han, 2).otherwise(F.greatest(F.lit(EDITS_LEAST), F.ceil(EDITS * F.greatest(size("a"), size("b")))))
-    both = both.withColumn("d", F.when(F.col("a") == F.col("b"), 0).when(F.abs(size("a") - size("b")) > limit, -1).otherwise(F.levenshtein("a", "b")))
+    both = _once(both, ["l", "r", "part_l", "part_r", "a", "b", *flags], edits=limit.cast("int"), han=han)
+    both = both.filter(F.abs(size("a") - size("b")) <= F.col("edits"))
+    both = _once(both, ["l", "r", "part_l", "part_r", "a", "b", "han", *flags], d=F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("levenshtein(a, b, edits)")))
     # Where words aren't divided, two signs in the place of two others are a word.
-    both = both.filter((F.col("d") >= 0) & (F.col("d") <= limit) & ~(han & (F.col("d") == 2) & (size("a") == size("b"))))
+    both = both.filter((F.col("d") >= 0) & ~(F.col("han") & (F.col("d") == 2) & (size("a") == size("b"))))
     words = lambda c: F.split(F.col(c), " ")
-    both = both.select("l", "r", "d", "dropped", "cut_off", "longer", "other", (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
+    both = both.select("l", "r", "d", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
                        F.array_except(words("part_l"), words("part_r")).alias("lone_l"), F.array_except(words("part_r"), words("part_l")).alias("lone_r"))
     both = cut(both, "pairs")
     lone = both.filter("d > 1 AND size(lone_l) > 0 AND size(lone_r) > 0").select("l", "r", F.inline(F.concat(
@@ -187,16 +218,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.5) -> n
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (score, probability) of the rising function closest to the labels, by pooling neighbours."""
+    """Points (mean score, probability) of the rising function closest to the labels, by pooling neighbours."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
     for s, v in zip(score[order], y[order]):
         blocks.append([s, float(v), 1.0])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             top = blocks.pop()
-            blocks[-1][1] += top[1]
-            blocks[-1][2] += top[2]
-    return np.array([b[0] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], top)]
+    return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
 
 
 def _year(column: str) -> Column:
@@ -214,12 +244,12 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
     w = cut(w.select("canonical_id", plain_title(F.col("title"), False).alias("plain"), F.when(F.col("reference_year").between(1500, 2100), F.col("reference_year")).alias("year"), isbn_core(F.col("isbn")).alias("core")).filter("canonical_id is not null"), "works")
     c = candidates.select("trove_work_id", plain_title(F.col("trove_title"), True).alias("plain"), _year("trove_issued").alias("year"), F.col("trove_isbns").alias("isbns")).filter("trove_work_id is not null")
     c = cut(c, "candidates")
-    left, right = cut(_titles(w.filter("plain is not null")), "left"), cut(_titles(c.filter("plain is not null")), "right")
+    left, right = _titles(w.filter("plain is not null"), "left"), _titles(c.filter("plain is not null"), "right")
     pairs = cut(candidate_titles(left, right), "blocks")
     features = title_features(pairs, left, right, _tokens(left))
     # From titles to works.
-    wt = w.select("canonical_id", F.xxhash64("plain").alias("l")).distinct()
-    ct = c.select("trove_work_id", F.xxhash64("plain").alias("r")).distinct()
+    wt = w.join(left.select("plain", F.col("t").alias("l")), "plain").select("canonical_id", "l").distinct()
+    ct = c.join(right.select("plain", F.col("t").alias("r")), "plain").select("trove_work_id", "r").distinct()
     best = features.join(wt, "l").join(ct, "r").groupBy("canonical_id", "trove_work_id").agg(F.min_by(F.struct("d", *FEATURES[:6]), F.col("d") + 5 * F.col("swapped") + 50 * (F.col("other") + F.col("longer"))).alias("f"))
     best = best.select("canonical_id", "trove_work_id", "f.*")
     wy = w.filter("year is not null").groupBy("canonical_id").agg(F.collect_set("year").alias("years"))  # 600 at most
@@ -250,9 +280,13 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
     score = F.lit(float(weights[0]))
     for name, weight in zip(FEATURES, weights[1:]):
         score = score + float(weight) * F.col(name)
-    below = F.lit(float(levels[0]))
-    for s, level in zip(steps[1:], levels[1:]):
-        below = F.when(F.col("score") >= float(s), float(level)).otherwise(below)
+    # Between two points the probability rises evenly.
+    between = F.lit(float(levels[-1]))
+    for i in range(len(steps) - 1, 0, -1):
+        low, high, p, q = (float(v) for v in (steps[i - 1], steps[i], levels[i - 1], levels[i]))
+        rise = F.lit(p) + (F.col("score") - low) * ((q - p) / max(high - low, 1e-9))
+        between = F.when(F.col("score") < high, rise).otherwise(between)
+    below = F.when(F.col("score") <= float(steps[0]), float(levels[0])).otherwise(between)
     scored = best.withColumn("score", score).withColumn("confidence", F.round(below, 6))
     # What the model can't weigh: by definition other works.
     scored = scored.filter("other = 0 AND far = 0 AND longer = 0 AND swapped = 0")
