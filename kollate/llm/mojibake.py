@@ -126,6 +126,7 @@ _c1 = regex.compile(r"[\x80-\x9f]")
 _entity = regex.compile(r"&#(1[2-9]\d|2[0-4]\d|25[0-5]);")
 #: A question mark inside a word or before one, or several in a row: where signs were lost to ASCII.
 _asked = regex.compile(r"[^\W_]\?+[^\W_]|(?:^|[\s(])\?+[^\W_]|(?:^|\s)\?+\s|[^\W_]\?{2,}(?=[^\s?])")
+_question = regex.compile(r"(?i)(how|what|why|who|whose|which|when|where|is|are|do|does|can|should)\b")
 _odd_word = regex.compile(r"\S*[^\x00-\x7f]\S*")
 
 
@@ -204,7 +205,9 @@ def repair(text: str, patterns: dict[tuple[str, str, str], tuple[str, str]]) ->
             text = "".join(c if c <= "\x7f" else (h[0] if (h := next(left)) and h[1] == pair else c) for c in text)
             turn = str.maketrans(_turn(pair))
             text = _odd_word.sub(lambda m: fixed if _rough(m[0]) and not _rough(fixed := m[0].translate(turn)) else m[0], text)
-    lost = LOST in text.rstrip(" .…")[:-1] or bool(_asked.search(text))
+    # A question has its mark; a blank left out after it is no lost sign.
+    question = text.count("?") == 1 and bool(_question.match(text))
+    lost = LOST in text.rstrip(" .…")[:-1] or bool(not question and _asked.search(text))
     return bool(kinds) or lost, text, sorted(set(kinds)) + ["lost"] * lost
 
 
