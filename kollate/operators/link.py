@@ -81,3 +81,29 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 def priority_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """All rows of the first table and those of the second whose key the first doesn't have."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
+
+
+def contained(texts: DataFrame, titles: DataFrame, text_id: str, text_: str, title_id: str, title: str, words: int = 4) -> DataFrame:
+    """(text_id, title_id): of each text the longest title it holds; of equally long ones the smallest id.
+
+    A title meets only texts that hold its first ``words`` words in a row, by a join of hashes, and is then
+    looked for whole. Titles with fewer words are not looked for. Both sides must be plain words, one blank
+    between; no text meets all titles.
+    """
+    def split(df, column):  # the words are taken apart once, not in every use
+        return df.select("*", F.inline(F.array(F.struct(F.split(column, " ").alias("_w"))))).filter(F.size("_w") >= words)
+
+    anchor = lambda i: F.xxhash64(*[F.col("_w")[i + k] for k in range(words)])
+    t = split(titles.select(F.col(title_id).alias("_i"), F.col(title).alias("_t")), "_t").select("_i", "_t", anchor(F.lit(0)).alias("_h"))
+    x = texts.select(F.col(text_id).alias("_d"), F.col(text_).alias("_x"))
+    windows = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - words), anchor))
+    anchors = split(x, "_x").select("_d", F.explode(windows).alias("_h"))
+    hits = anchors.join(t, "_h").join(x, "_d").filter(F.contains(F.col("_x"), F.col("_t")))
+    return best(hits.select("_d", "_i", F.length("_t").alias("_n")), "_d", -F.col("_n"), F.col("_i")).select(F.col("_d").alias(text_id), F.col("_i").alias(title_id))
+
+
+def first_wins(rows: DataFrame, names: list[tuple[str, str]], key: str) -> DataFrame:
+    """(name, key): each name of several sources in their order; a name two keys share goes to the earlier source, then the smaller key."""
+    listed = F.array(*[F.struct(F.lit(i).alias("o"), F.expr(expr).alias("name")) for i, (_, expr) in enumerate(names)])
+    flat = rows.select(F.col(key).alias("k"), F.inline(listed)).filter("name is not null and name <> ''")
+    return flat.groupBy("name").agg(F.min(F.struct("o", "k"))["k"].alias(key))

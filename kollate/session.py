@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,7 @@ DEFAULTS = {
 }
 
 _local_dirs: list[str] = []
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -51,6 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dirs[0]}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a cluster, once per application, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    home = os.path.dirname(os.path.abspath(__file__))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="kollate-"), "kollate"), "zip", os.path.dirname(home), os.path.basename(home))
+    context.addPyFile(made)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
