@@ -1,8 +1,8 @@
 """Matching entities across sources without keys (problem 3).
 
-Candidates come from MinHash blocks over several attributes: character shingles of the whole title, of its
-main part, and the ISBN. Of each block key a band keeps the ``ROWS`` smallest hashes of one permutation,
-so that a band agrees with probability of about similarity to that power. Equal titles are one record in
+Candidates come from MinHash blocks over character shingles of several attributes: the whole title, its
+opening (for titles that were cut) and its main part (for catalogue titles without the subtitle). A band
+agrees with a probability of similarity to the power of ``ROWS``. Equal titles are one record in
 the blocks, however many rows share them. Each candidate pair gets similarity features; a logistic
 classifier, trained on a bounded sample of pairs with weak labels, turns them into probabilities, which
 are calibrated by isotonic regression on the part of the sample kept back.
@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kollate.llm import mojibake
 from kollate.session import cut
 
-SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN = 4, 8, 16, 6
-#: Bits of a block key, and of 64 sketch bits that must agree in the whole title or its main part.
-KEY_BITS, SKETCH_BITS = 40, 50
+SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN, BANDS_OPENING = 4, 8, 16, 5, 3
+#: Signs of a long title's opening, by which a title that was cut meets the whole one.
+OPENING = 64
+#: Bits of a block key.
+KEY_BITS = 40
 #: Pairs of either weak label used to fit; a third of them only to calibrate.
 SAMPLE = 10_000
 #: Works of one title issued further apart are different works.
@@ -75,74 +77,71 @@ def isbn_core(column: Column) -> Column:
     return F.when(F.length(digits) == 13, F.substring(digits, 4, 9)).when(F.length(digits) == 10, F.substring(digits, 1, 9))
 
 
-class Signer:
-    """Band keys and a sketch of a string's shingles. The sketch has one bit of the smallest hash of each of 64 permutations."""
-
-    def __init__(self, bands: int):
-        rng = np.random.default_rng(20240229)
-        self.bands = bands
-        self.mult = (rng.integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.add = rng.integers(0, 2**63, 64, dtype=np.uint64)
-        self.powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        self.number = np.arange(bands, dtype=np.uint64)
-
-    def __call__(self, text: str) -> tuple[list[int], int]:
-        signs = np.frombuffer(text.replace(" ", "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        if not len(signs):
-            return [], 0
-        base = np.zeros(max(1, len(signs) - SHINGLE + 1), np.uint64)
-        for k in range(min(SHINGLE, len(signs))):
-            base = base * np.uint64(0x9E3779B97F4A7C15) + signs[k : k + len(base)]
-        base ^= base >> np.uint64(32)
-        base = np.unique(base * np.uint64(0xD6E8FEB86659FD93))
-        hashed = base[:, None] * self.mult + self.add
-        hashed ^= hashed >> np.uint64(29)
-        least = hashed.min(axis=0)
-        sketch = int((((least >> np.uint64(13)) & np.uint64(1)) * self.powers).sum(dtype=np.uint64).view(np.int64))
-        banded = hashed[:, : self.bands]
-        if len(banded) > ROWS:
-            banded = np.partition(banded, ROWS - 1, axis=0)[:ROWS]
-        key = (banded.sum(axis=0, dtype=np.uint64) + self.number) * np.uint64(0x9E3779B97F4A7C15)
-        return (key >> np.uint64(64 - KEY_BITS)).astype(np.int64).tolist(), sketch
-
-
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    whole, main = Signer(BANDS_WHOLE), Signer(BANDS_MAIN)
-    for batch in batches:
-        keys, w, m = [], [], []
-        for a, b in zip(batch["whole"], batch["main"]):
-            ka, sa = whole(a)
-            kb, sb = main(b)
-            keys.append(ka + [k ^ 0x5DEECE66D for k in kb])
-            w.append(sa)
-            m.append(sb)
-        yield pd.DataFrame({"t": batch["t"], "keys": keys, "w": w, "m": m})
+def band_keys(texts: list[str], bands: int, seed: int) -> np.ndarray:
+    """Band keys, one row per text: of each band, ``ROWS`` smallest hashes, each under a permutation of its own.
+
+    All texts of a batch are hashed at once; the smallest of each text are found by segments.
+    """
+    padded = [t.replace(" ", "").ljust(SHINGLE, "\x01") for t in texts]
+    signs = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    base = np.zeros(len(signs) - SHINGLE + 1, np.uint64)
+    for k in range(SHINGLE):
+        base = base * np.uint64(0x9E3779B97F4A7C15) + signs[k : k + len(base)]
+    inside = np.ones(len(signs), bool)
+    ends = np.cumsum(sizes)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False  # no shingle begins in the last signs of a text
+    base = base[inside[: len(base)]]
+    base = (base ^ (base >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    starts = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
+    rng = np.random.default_rng(seed)
+    keys = np.empty((len(texts), bands), np.int64)
+    for band in range(bands):
+        key = np.full(len(texts), band, np.uint64)
+        for _ in range(ROWS):
+            mult, add = (rng.integers(0, 2**63, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), rng.integers(0, 2**63, dtype=np.uint64)
+            hashed = base * mult + add
+            hashed ^= hashed >> np.uint64(29)
+            key = (key ^ np.minimum.reduceat(hashed, starts)) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, band] = (key >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    return keys
+
+
+def _sign(side: str):
+    """Signs a batch of titles: the whole of each, its opening if it is long, and the part that may stand alone.
+
+    Of works that is the main part of a title with a subtitle, of the catalogue a title without one, so that titles
+    which only share their main part don't meet.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            t, whole, main = batch["t"].to_numpy(), batch["whole"].tolist(), batch["main"].tolist()
+            parted = np.array([len(a) > len(b) + 3 for a, b in zip(whole, main)])
+            alone = parted if side == "works" else ~parted
+            long_ = np.array([len(a) >= OPENING + 8 for a in whole])
+            for mask, texts, bands, seed in ((np.ones(len(t), bool), whole, BANDS_WHOLE, 1), (alone, main if side == "works" else whole, BANDS_MAIN, 2), (long_, [a[:OPENING] for a in whole], BANDS_OPENING, 3)):
+                if mask.any():
+                    keys = band_keys([x for x, m in zip(texts, mask) if m], bands, seed)
+                    yield pd.DataFrame({"t": np.repeat(t[mask], bands), "key": keys.ravel() * 4 + seed})
+
+    return run
 
 
 def _titles(records: DataFrame, name: str) -> DataFrame:
-    """(t, plain, whole, main, head and these without blanks, odd) of every different plain title; ``odd`` marks signs of another work."""
+    """(t, p, whole, main, head, odd) of every different plain title; ``p`` is its hash, ``odd`` marks signs of another work."""
     distinct = records.select("plain").distinct().withColumn("t", F.monotonically_increasing_id())
     bare = F.regexp_replace("plain", r"^(the|a|an) ", "")
-    first = distinct.select("t", "plain", squeezed(bare).alias("whole"), squeezed(main_part(bare)).alias("main"), squeezed(main_part(bare, ":;")).alias("head"), F.regexp_extract("plain", OTHER_WORK, 0).alias("odd"))
+    first = distinct.select("t", F.xxhash64("plain").alias("p"), squeezed(bare).alias("whole"), squeezed(main_part(bare)).alias("main"), squeezed(main_part(bare, ":;")).alias("head"), F.regexp_extract("plain", OTHER_WORK, 0).alias("odd"))
     return cut(first.filter("whole <> ''"), name)  # written once: the numbers must not change
 
 
-def _bands(signed: DataFrame) -> DataFrame:
-    return signed.select("t", F.explode("keys").alias("key"))
-
-
 def candidate_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r): different titles of the two sides that share a block and whose sketches agree well enough.
-
-    The sketches drop pairs far from alike before their texts are fetched: of titles four fifths alike 58 of 64
-    bits agree, of titles half alike 48.
-    """
-    kind = "t long, keys array<long>, w long, m long"
-    a, b = cut(left.select("t", "whole", "main").mapInPandas(_sign, kind), "signed"), cut(right.select("t", "whole", "main").mapInPandas(_sign, kind), "signed")
-    pairs = _bands(a).withColumnRenamed("t", "l").join(_bands(b).withColumnRenamed("t", "r"), "key").select("l", "r").distinct()
-    pairs = pairs.join(a.select(F.col("t").alias("l"), F.col("w").alias("wl"), F.col("m").alias("ml")), "l").join(b.select(F.col("t").alias("r"), F.col("w").alias("wr"), F.col("m").alias("mr")), "r")
-    agree = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 64 - SKETCH_BITS
-    return pairs.filter(agree("wl", "wr") | agree("ml", "mr")).select("l", "r")
+    """(l, r): different titles of the two sides that share a block."""
+    a = left.select("t", "whole", "main").mapInPandas(_sign("works"), "t long, key long").withColumnRenamed("t", "l")
+    b = right.select("t", "whole", "main").mapInPandas(_sign("catalogue"), "t long, key long").withColumnRenamed("t", "r")
+    return a.join(b, "key").select("l", "r").distinct()
 
 
 def _tokens(titles: DataFrame) -> DataFrame:
@@ -239,17 +238,16 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
     Rows without a title can't be matched by it and give nothing; titles of any length and any number of
     rows of one work or one title count; empty tables give an empty result.
     """
-    mended = mojibake.restore(works, "row_id", "title").select("row_id", "restored")
-    w = works.select("row_id", "canonical_id", "title", "reference_year", "isbn").join(mended, "row_id", "left").withColumn("title", F.coalesce("restored", "title"))
-    w = cut(w.select("canonical_id", plain_title(F.col("title"), False).alias("plain"), F.when(F.col("reference_year").between(1500, 2100), F.col("reference_year")).alias("year"), isbn_core(F.col("isbn")).alias("core")).filter("canonical_id is not null"), "works")
-    c = candidates.select("trove_work_id", plain_title(F.col("trove_title"), True).alias("plain"), _year("trove_issued").alias("year"), F.col("trove_isbns").alias("isbns")).filter("trove_work_id is not null")
+    w = mojibake.mend(works.filter("canonical_id is not null").select("canonical_id", "title", "reference_year", "isbn"), "title")
+    w = cut(w.select("canonical_id", plain_title(F.col("title"), False).alias("plain"), F.when(F.col("reference_year").between(1500, 2100), F.col("reference_year")).alias("year"), isbn_core(F.col("isbn")).alias("core")).withColumn("p", F.xxhash64("plain")), "works")
+    c = candidates.select("trove_work_id", plain_title(F.col("trove_title"), True).alias("plain"), _year("trove_issued").alias("year"), F.col("trove_isbns").alias("isbns")).filter("trove_work_id is not null").withColumn("p", F.xxhash64("plain"))
     c = cut(c, "candidates")
     left, right = _titles(w.filter("plain is not null"), "left"), _titles(c.filter("plain is not null"), "right")
     pairs = cut(candidate_titles(left, right), "blocks")
     features = title_features(pairs, left, right, _tokens(left))
     # From titles to works.
-    wt = w.join(left.select("plain", F.col("t").alias("l")), "plain").select("canonical_id", "l").distinct()
-    ct = c.join(right.select("plain", F.col("t").alias("r")), "plain").select("trove_work_id", "r").distinct()
+    wt = w.select("canonical_id", "p").distinct().join(left.select("p", F.col("t").alias("l")), "p").select("canonical_id", "l")
+    ct = c.select("trove_work_id", "p").distinct().join(right.select("p", F.col("t").alias("r")), "p").select("trove_work_id", "r")
     best = features.join(wt, "l").join(ct, "r").groupBy("canonical_id", "trove_work_id").agg(F.min_by(F.struct("d", *FEATURES[:6]), F.col("d") + 5 * F.col("swapped") + 50 * (F.col("other") + F.col("longer"))).alias("f"))
     best = best.select("canonical_id", "trove_work_id", "f.*")
     wy = w.filter("year is not null").groupBy("canonical_id").agg(F.collect_set("year").alias("years"))  # 600 at most
