@@ -16,7 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kollate.llm import mojibake, truncation
@@ -98,29 +99,34 @@ def survivor(candidates: list[dict]) -> dict:
     return kept[order[winner]]
 
 
-def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The survivor of each list of candidates. Only lists of several are opened; what survives is picked by place."""
     for batch in batches:
-        won = [survivor([c.asDict() if hasattr(c, "asDict") else dict(c) for c in found]) for found in batch["found"]]
-        batch = batch[["work", "field", "n"]].assign(**{k: [w[k] for w in won] for k in ("value", "first", "delivered", "trust")})
-        yield batch
+        lists = batch.column("found")
+        flat = lists.flatten()
+        ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        fields = {name: flat.field(name) for name in ("value", "first", "delivered", "trust")}
+        picked = ends[:-1].copy()
+        for i in np.flatnonzero(np.diff(ends) > 1):
+            part = {name: column.slice(ends[i], ends[i + 1] - ends[i]).to_pylist() for name, column in fields.items()}
+            several = [dict(zip(part, row), place=k) for k, row in enumerate(zip(*part.values()))]
+            picked[i] += survivor(several)["place"]
+        columns = [batch.column(n) for n in ("work", "field", "n")] + [c.take(pa.array(picked)) for c in fields.values()]
+        yield pa.RecordBatch.from_arrays(columns, names=["work", "field", "n", *fields])
 
 
 def survivors(values: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(work, field, value, first) of ``values``: work, field, value, first (row), delivered (long), trust and n, of usable values.
+    """(work, field, value, first) of ``values``: work, field, value, first (row), delivered (long), trust and n, each usable value of a work once.
 
     ``n`` is how many rows the work has, so at least how many different values. Only works with more than
     ``chunk`` rows are decided in rounds.
     """
-    kept = ["value", "first", "delivered", "trust"]
-    now = values.groupBy("work", "field", "value").agg(F.min("first").alias("first"), F.max("delivered").alias("delivered"), F.max("trust").alias("trust"), F.max("n").alias("n"))
-    done = None
+    now, done = values, None
+    kind = "work long, field string, n long, value string, first long, delivered long, trust int"
     for number in range(40):
         part = F.when(F.col("n") > chunk, F.pmod(F.xxhash64("value", F.lit(number)), F.ceil(2 * F.col("n") / chunk))).otherwise(F.lit(0))
-        gathered = now.groupBy("work", "field", part.alias("part")).agg(F.max("n").alias("n"), F.collect_list(F.struct(*kept)).alias("found"))
-        gathered = cut(gathered.select("work", "field", "n", "found"), "gathered")
-        alone = gathered.filter("size(found) = 1").select("work", "field", "n", F.inline("found"))
-        decided = gathered.filter("size(found) > 1").mapInPandas(_decide, "work long, field string, n long, value string, first long, delivered long, trust int")
-        both = cut(alone.unionByName(decided), "round")
+        gathered = now.groupBy("work", "field", part.alias("part")).agg(F.max("n").alias("n"), F.collect_list(F.struct("value", "first", "delivered", "trust")).alias("found"))
+        both = cut(gathered.select("work", "field", "n", "found").mapInArrow(_decide, kind), "round")
         final = both.filter(F.col("n") <= chunk).select("work", "field", "value", "first")
         done = final if done is None else done.unionByName(final)
         rest = both.filter(F.col("n") > chunk)
@@ -136,28 +142,34 @@ def filler(column) -> Column:
 
 
 def usable_values(works: DataFrame, institutions: DataFrame) -> DataFrame:
-    """(work, field, value, first, delivered, trust) of the values of works in two rows at least that can be used.
+    """(work, field, value, first, delivered, trust, n) of the different values of works in two rows at least that can be used.
 
-    A title or outlet is no filler, neither cut nor garbled; a DOI is well-formed; a year is a year.
+    A title or outlet is no filler, neither cut nor garbled; a DOI is well-formed; a year is a year. What shows a cut or a
+    wrong encoding is counted over all rows; the values of works in several rows are then held against it.
     """
     needed = works.select("canonical_id", "row_id", "title", "doi", "doi_wellformed", "reference_year", "outlet", "delivered_by", "delivered_at")
+    texts = truncation.field_rows(needed, "row_id", "delivered_by", ["title", "outlet"])
     again = needed.groupBy("canonical_id").agg(F.count("*").alias("n")).filter("n > 1")
     trust = institutions.select(F.col("institution").alias("delivered_by"), F.col("trust_level").alias("trust")).groupBy("delivered_by").agg(F.max("trust").alias("trust"))
-    # What can't be used is found over all rows, and joined by row before the fields are taken apart.
-    cuts = truncation.truncated(needed, "row_id", "delivered_by", ["title", "outlet"]).select("row_id", "field")
-    for field in ("title", "outlet"):
-        cuts = cuts.unionByName(mojibake.restore(needed, "row_id", field).select("row_id", F.lit(field).alias("field")))
-    bad = cuts.groupBy("row_id").agg(*[F.max(F.when(F.col("field") == f, True)).alias(f"bad_{f}") for f in ("title", "outlet")])
-    rows = needed.join(again, "canonical_id").join(bad, "row_id", "left").join(trust, "delivered_by", "left")
     fields = F.array(
-        F.struct(F.lit("title").alias("field"), F.when(F.col("bad_title").isNull(), F.col("title")).alias("value")),
+        F.struct(F.lit("title").alias("field"), F.col("title").alias("value")),
         F.struct(F.lit("doi").alias("field"), F.when(F.col("doi_wellformed"), F.col("doi")).alias("value")),
         F.struct(F.lit("reference_year").alias("field"), F.when(F.col("reference_year").between(*YEARS), F.col("reference_year").cast("string")).alias("value")),
-        F.struct(F.lit("outlet").alias("field"), F.when(F.col("bad_outlet").isNull(), F.col("outlet")).alias("value")),
+        F.struct(F.lit("outlet").alias("field"), F.col("outlet").alias("value")),
     )
     delivered = F.coalesce(F.unix_micros(F.col("delivered_at").cast("timestamp")), F.lit(-(2**62)))
-    values = rows.select(F.col("canonical_id").alias("work"), F.col("row_id").alias("first"), delivered.alias("delivered"), F.coalesce("trust", F.lit(0)).alias("trust"), "n", F.inline(fields))
-    return values.filter("value is not null").filter(~filler(F.col("value")))
+    rows = needed.join(again, "canonical_id").select(F.col("canonical_id").alias("work"), F.col("row_id").alias("first"), F.col("delivered_by").alias("source"), delivered.alias("delivered"), "n", F.inline(fields))
+    rows = rows.filter("value is not null").filter(~filler(F.col("value"))).withColumn("len", F.length("value"))
+    rows = rows.join(trust.withColumnRenamed("delivered_by", "source"), "source", "left").join(truncation.limits(texts), ["source", "field", "len"], "left")
+    values = rows.groupBy("work", "field", "value").agg(
+        F.min("first").alias("first"), F.max("delivered").alias("delivered"), F.max(F.coalesce("trust", F.lit(0))).alias("trust"), F.max("n").alias("n"), F.max(F.coalesce("limited", F.lit(False))).alias("limited"))
+    kept = ["work", "field", "value", "first", "delivered", "trust", "n"]
+    text = F.col("field").isin("title", "outlet")
+    held = truncation.tails(values.filter(text), [*kept, "limited"]).join(truncation.verdicts(texts), "h", "left")
+    whole = held.filter(~(F.col("marked") | F.coalesce("short", F.lit(False)) | (F.col("limited") & F.coalesce("short_at_limit", F.lit(False)))))
+    garbled = mojibake.garbled(needed.select(F.col("title").alias("text")).unionByName(needed.select(F.col("outlet").alias("text"))).filter("text is not null"))
+    right = whole.withColumn("bad", garbled(F.col("value"))).filter(~F.col("bad")).select(*kept)
+    return right.unionByName(values.filter(~text).select(*kept))
 
 
 def best_values(works: DataFrame, institutions: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Encodings in which UTF-8 was read.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-2", "iso8859-15")
@@ -236,6 +236,11 @@ def _place_counts(texts: DataFrame) -> dict[tuple[str, str, str], int]:
     return {(r.b, r.s, r.a): r.n for r in counted.groupBy("b", "s", "a").agg(F.sum("n").alias("n")).collect()}
 
 
+def _patterns(texts: DataFrame):
+    """The one-byte patterns that hold for these texts, on every worker; ``texts``: text."""
+    return texts.sparkSession.sparkContext.broadcast(one_byte_patterns(_place_counts(texts)))
+
+
 def restore(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, restored, kinds) of each row whose text is garbled.
 
@@ -243,8 +248,7 @@ def restore(df: DataFrame, key: str, text: str) -> DataFrame:
     repeated rows come out as often as they go in; other columns are ignored.
     """
     plain = df.select(df[key].alias("key"), df[text].alias("text")).filter(suspect(F.col("text")))
-    table = one_byte_patterns(_place_counts(plain.select("text")))
-    patterns = df.sparkSession.sparkContext.broadcast(table)
+    patterns = _patterns(plain.select("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -255,3 +259,28 @@ def restore(df: DataFrame, key: str, text: str) -> DataFrame:
 
     kind = plain.schema["key"].dataType.simpleString()
     return plain.mapInPandas(run, f"key {kind}, text string, restored string, kinds array<string>").withColumnRenamed("key", key).withColumnRenamed("text", text)
+
+
+def mend(df: DataFrame, text: str) -> DataFrame:
+    """All rows and columns, the text restored where it was garbled and can be; no row is shuffled for it."""
+    odd = F.coalesce(suspect(F.col(text)), F.lit(False))
+    held = df.filter(odd).select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
+    patterns = _patterns(held.select("text"))
+
+    @F.pandas_udf(T.StringType())
+    def mended(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: out if (done := repair(t, patterns.value))[0] and "lost" not in done[2] and (out := done[1]) else t)
+
+    back = held.select("row.*", mended("text").alias("__mended")).withColumn(text, F.col("__mended")).drop("__mended")
+    return df.filter(~odd).unionByName(back)
+
+
+def garbled(texts: DataFrame):
+    """A function of a text column that tells whether each text is garbled, by the patterns of ``texts`` (text)."""
+    patterns = _patterns(texts.filter(suspect(F.col("text"))))
+
+    @F.pandas_udf(T.BooleanType())
+    def found(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: t is not None and repair(t, patterns.value)[0]).astype(bool)
+
+    return lambda text: found(F.when(suspect(text), text))

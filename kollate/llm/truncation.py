@@ -87,16 +87,16 @@ LEFT JOIN {longer} l ON l.h = xxhash64(g.field, g.b, g.c)
 LEFT JOIN {longer_words} lw ON lw.h = xxhash64(g.field, g.c)
 """
 
-#: Each value by the hash of its final trigram. The last words are taken from the end of the value, of which blanks in a row take more.
+#: Adds the length, the mark of a cut and the hash of the final trigram to rows with field and value. The last words are
+#: taken from the end of the value, unless it has blanks in a row.
 TAILS = rf"""
-SELECT key, source, field, len, marked,
+SELECT {{columns}}, len, marked,
   xxhash64(field, CASE WHEN size(w) >= 3 THEN w[size(w) - 3] ELSE '' END, CASE WHEN size(w) >= 2 THEN w[size(w) - 2] ELSE '' END, w[size(w) - 1]) AS h
 FROM (
-  SELECT key, source, field, len, marked, t.w FROM (
-    SELECT key, source, field, length(value) AS len, right(value, 24) RLIKE '{_MARK}\\s*$' AS marked, b.body
-    FROM {{rows}} LATERAL VIEW inline(array(named_struct('body', {_BODY}))) b AS body)
+  SELECT {{columns}}, len, marked, t.w FROM (
+    SELECT {{columns}}, length(value) AS len, right(value, 24) RLIKE '{_MARK}\\s*$' AS marked, b.body
+    FROM {{{{rows}}}} LATERAL VIEW inline(array(named_struct('body', {_BODY}))) b AS body)
   LATERAL VIEW inline(array(named_struct('w', split(CASE WHEN contains(body, '  ') THEN body ELSE substring_index(body, ' ', -3) END, ' +')))) t AS w)
-WHERE w[0] <> ''
 """
 
 
@@ -131,6 +131,22 @@ def never_ends(least: float) -> F.Column:
     return F.when(fragment, True).when(enough[2], rare[2]).when(may_end, False).when(enough[1], rare[1]).otherwise(unknown)
 
 
+def tails(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The kept columns of rows with field and value, with len, marked and h."""
+    return _run(rows, TAILS.format(columns=", ".join(kept)), rows=rows)
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """(h, short, short_at_limit) of the final trigrams that show a cut, at any length or at a source's limit."""
+    found = final_trigrams(rows).select("h", never_ends(RARE_END).alias("short"), never_ends(RARE_END_AT_LIMIT).alias("short_at_limit"))
+    return found.filter("short OR short_at_limit")
+
+
+def limits(rows: DataFrame) -> DataFrame:
+    """(source, field, len, limited) of the lengths that are limits of a source."""
+    return _run(rows, LIMITS.format(rows="{rows}", limit_rows=LIMIT_ROWS, limit_ratio=LIMIT_RATIO), rows=rows).withColumn("limited", F.lit(True))
+
+
 def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
     """(key, source, field) of each value that stops short.
 
@@ -139,11 +155,8 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
     final trigrams travel with the rows, and only the trigrams that show a cut with them.
     """
     rows = field_rows(df, key, source, fields)
-    verdict = final_trigrams(rows).select("h", never_ends(RARE_END).alias("short"), never_ends(RARE_END_AT_LIMIT).alias("short_at_limit")).filter("short OR short_at_limit")
-    limits = _run(df, LIMITS.format(rows="{rows}", limit_rows=LIMIT_ROWS, limit_ratio=LIMIT_RATIO), rows=rows)
-    limits = limits.withColumn("limited", F.lit(True))
-    found = _run(df, TAILS, rows=rows).join(verdict, "h", "left").filter("marked OR short OR short_at_limit")
-    found = found.join(limits, ["source", "field", "len"], "left").filter("marked OR short OR limited AND short_at_limit")
+    found = tails(rows, ["key", "source", "field"]).join(verdicts(rows), "h", "left").filter("marked OR short OR short_at_limit")
+    found = found.join(limits(rows), ["source", "field", "len"], "left").filter("marked OR short OR limited AND short_at_limit")
     return found.select(F.col("key").alias(key), F.col("source").alias(source), "field")
 
 
