@@ -138,7 +138,8 @@ def survivors(values: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def filler(column) -> Column:
-    return F.lower(F.regexp_replace(column, r"(?U)^[\s\[(]+|[\s\])]+$", "")).isin(*FILLER)
+    """Whether a value only fills its place; long values are not looked at."""
+    return (F.length(column) <= 24) & F.lower(F.regexp_replace(column, r"(?U)^[\s\[(]+|[\s\])]+$", "")).isin(*FILLER)
 
 
 def usable_values(works: DataFrame, institutions: DataFrame) -> DataFrame:
@@ -151,25 +152,26 @@ def usable_values(works: DataFrame, institutions: DataFrame) -> DataFrame:
     texts = truncation.field_rows(needed, "row_id", "delivered_by", ["title", "outlet"])
     again = needed.groupBy("canonical_id").agg(F.count("*").alias("n")).filter("n > 1")
     trust = institutions.select(F.col("institution").alias("delivered_by"), F.col("trust_level").alias("trust")).groupBy("delivered_by").agg(F.max("trust").alias("trust"))
-    fields = F.array(
-        F.struct(F.lit("title").alias("field"), F.col("title").alias("value")),
-        F.struct(F.lit("doi").alias("field"), F.when(F.col("doi_wellformed"), F.col("doi")).alias("value")),
-        F.struct(F.lit("reference_year").alias("field"), F.when(F.col("reference_year").between(*YEARS), F.col("reference_year").cast("string")).alias("value")),
-        F.struct(F.lit("outlet").alias("field"), F.col("outlet").alias("value")),
-    )
     delivered = F.coalesce(F.unix_micros(F.col("delivered_at").cast("timestamp")), F.lit(-(2**62)))
-    rows = needed.join(again, "canonical_id").select(F.col("canonical_id").alias("work"), F.col("row_id").alias("first"), F.col("delivered_by").alias("source"), delivered.alias("delivered"), "n", F.inline(fields))
-    rows = rows.filter("value is not null").filter(~filler(F.col("value"))).withColumn("len", F.length("value"))
-    rows = rows.join(trust.withColumnRenamed("delivered_by", "source"), "source", "left").join(truncation.limits(texts), ["source", "field", "len"], "left")
-    values = rows.groupBy("work", "field", "value").agg(
-        F.min("first").alias("first"), F.max("delivered").alias("delivered"), F.max(F.coalesce("trust", F.lit(0))).alias("trust"), F.max("n").alias("n"), F.max(F.coalesce("limited", F.lit(False))).alias("limited"))
+    rows = needed.join(again, "canonical_id").join(trust, "delivered_by", "left")
+
+    def different(fields: dict[str, Column], *more: Column) -> DataFrame:
+        """Each different value of each work, with its first row, last delivery and highest trust."""
+        listed = F.array(*[F.struct(F.lit(name).alias("field"), value.alias("value")) for name, value in fields.items()])
+        flat = rows.select(F.col("canonical_id").alias("work"), F.col("row_id").alias("first"), F.col("delivered_by").alias("source"), delivered.alias("delivered"), F.coalesce("trust", F.lit(0)).alias("trust"), "n", F.inline(listed)).filter("value is not null")
+        if more:
+            flat = flat.filter(~filler(F.col("value"))).withColumn("len", F.length("value")).join(truncation.limits(texts), ["source", "field", "len"], "left")
+        return flat.groupBy("work", "field", "value").agg(F.min("first").alias("first"), F.max("delivered").alias("delivered"), F.max("trust").alias("trust"), F.max("n").alias("n"), *more)
+
+    year = F.when(F.col("reference_year").between(*YEARS), F.col("reference_year").cast("string"))
+    values = different({"title": F.col("title"), "outlet": F.col("outlet")}, F.max(F.coalesce("limited", F.lit(False))).alias("limited"))
+    plain = different({"doi": F.when(F.col("doi_wellformed"), F.col("doi")), "reference_year": year})
     kept = ["work", "field", "value", "first", "delivered", "trust", "n"]
-    text = F.col("field").isin("title", "outlet")
-    held = truncation.tails(values.filter(text), [*kept, "limited"]).join(truncation.verdicts(texts), "h", "left")
+    held = truncation.tails(values, [*kept, "limited"]).join(truncation.verdicts(texts), "h", "left")
     whole = held.filter(~(F.col("marked") | F.coalesce("short", F.lit(False)) | (F.col("limited") & F.coalesce("short_at_limit", F.lit(False)))))
     garbled = mojibake.garbled(needed.select(F.col("title").alias("text")).unionByName(needed.select(F.col("outlet").alias("text"))).filter("text is not null"))
     right = whole.withColumn("bad", garbled(F.col("value"))).filter(~F.col("bad")).select(*kept)
-    return right.unionByName(values.filter(~text).select(*kept))
+    return right.unionByName(plain.select(*kept))
 
 
 def best_values(works: DataFrame, institutions: DataFrame) -> DataFrame:

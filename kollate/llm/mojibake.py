@@ -181,10 +181,18 @@ def _unread(text: str) -> tuple[int, str, str]:
     return best
 
 
-def repair(text: str, patterns: dict[tuple[str, str, str], tuple[str, str]]) -> tuple[bool, str, list[str]]:
+class Places(dict):
+    """Patterns by place, with the signs that have any."""
+
+    def __init__(self, patterns: dict):
+        super().__init__(patterns)
+        self.signs = {sign for _, sign, _ in patterns}
+
+
+def repair(text: str, patterns: Places | None) -> tuple[bool, str, list[str]]:
     """(garbled, text with the matched spans restored, pairs involved, with "lost" where signs are gone)."""
     kinds: list[str] = []
-    signs = _entity.sub(lambda m: chr(int(m[1])), text)
+    signs = _entity.sub(lambda m: chr(int(m[1])), text) if "&#" in text else text
     if signs != text and _unread(signs)[0]:
         text = signs
     for _ in range(3):  # text garbled twice is repaired twice
@@ -196,7 +204,7 @@ def repair(text: str, patterns: dict[tuple[str, str, str], tuple[str, str]]) ->
     if _c1.search(text):
         kinds.append("cp1252>latin-1")
         text = _c1.sub(lambda m: bytes([ord(m[0])]).decode("cp1252", "replace"), text)
-    if not kinds and patterns:
+    if not kinds and patterns and not patterns.signs.isdisjoint(text):
         hits = [patterns.get(p) for p in places(text)]
         if any(hits):
             pair = max(h[1] for h in hits if h)
@@ -207,7 +215,7 @@ def repair(text: str, patterns: dict[tuple[str, str, str], tuple[str, str]]) ->
             text = _odd_word.sub(lambda m: fixed if _rough(m[0]) and not _rough(fixed := m[0].translate(turn)) else m[0], text)
     # A question has its mark; a blank left out after it is no lost sign.
     question = text.count("?") == 1 and bool(_question.match(text))
-    lost = LOST in text.rstrip(" .…")[:-1] or bool(not question and _asked.search(text))
+    lost = LOST in text.rstrip(" .…")[:-1] or bool("?" in text and not question and _asked.search(text))
     return bool(kinds) or lost, text, sorted(set(kinds)) + ["lost"] * lost
 
 
@@ -238,7 +246,7 @@ def _place_counts(texts: DataFrame) -> dict[tuple[str, str, str], int]:
 
 def _patterns(texts: DataFrame):
     """The one-byte patterns that hold for these texts, on every worker; ``texts``: text."""
-    return texts.sparkSession.sparkContext.broadcast(one_byte_patterns(_place_counts(texts)))
+    return texts.sparkSession.sparkContext.broadcast(Places(one_byte_patterns(_place_counts(texts))))
 
 
 def restore(df: DataFrame, key: str, text: str) -> DataFrame:
