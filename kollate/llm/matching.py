@@ -1,7 +1,8 @@
 """Matching entities across sources without keys (problem 3).
 
-Candidates come from MinHash blocks over character shingles of several attributes: the whole title, its
-opening (for titles that were cut) and its main part (for catalogue titles without the subtitle). A band
+Candidates come from MinHash blocks over character shingles of several attributes: the whole title and its
+main part (for catalogue titles without the subtitle); long titles also meet by an equal opening, as one
+that was cut has. A band
 agrees with a probability of similarity to the power of ``ROWS``. Equal titles are one record in
 the blocks, however many rows share them. Each candidate pair gets similarity features; a logistic
 classifier, trained on a bounded sample of pairs with weak labels, turns them into probabilities, which
@@ -18,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kollate.llm import mojibake
 from kollate.session import cut
 
-SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN, BANDS_OPENING = 4, 8, 16, 5, 3
+SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN = 4, 7, 13, 4
 #: Signs of a long title's opening, by which a title that was cut meets the whole one.
 OPENING = 64
 #: Bits of a block key.
@@ -50,15 +52,23 @@ FOLD = _folding()
 _RESPONSIBILITY = r"\s*/\s.*$"
 _MEDIUM = r"(?i)\s*(\[[^\]]*\]|\((microform|electronic resource|online|computer file|text|microfiche|sound recording|large print)\))"
 #: Openings and endings that make another work of a title.
+OTHER_STARTS = ("review", "book", "reviews", "teachers", "teacher", "students", "student", "instructors", "instructor", "companion", "study", "index", "supplement", "abstracts", "abstract", "notes", "summary", "commentary")
 OTHER_WORK = r"^(review of|book review|reviews? on|(teachers?|students?|instructors?)'?s? (companion|guide|manual|handbook)( to)?|companion to|study guide( to)?|index to|supplement to|abstracts? of|notes on|summary of|commentary on)\b|\b(volume|vol|part|band|tome|tomo|book|pt|series|teil|том|τόμος)\.? ?([0-9]+|[ivx]+)\W*$"
 
 
+def _where(text: Column, signs: str, pattern: str, to: str = "") -> Column:
+    """Replaces a pattern where one of the signs occurs; elsewhere the text isn't searched."""
+    has = F.contains(text, F.lit(signs[0]))
+    for sign in signs[1:]:
+        has = has | F.contains(text, F.lit(sign))
+    return F.when(has, F.regexp_replace(text, pattern, to)).otherwise(text)
+
+
 def plain_title(column: Column, catalogue: bool) -> Column:
     """Lower-case title without accents, and without a cataloguer's additions."""
-    text = F.regexp_replace(F.regexp_replace(column, _RESPONSIBILITY, ""), _MEDIUM, "") if catalogue else column
-    text = F.regexp_replace(text, r"\s*(\.\.+|…|�)\s*$", "")
-    text = F.translate(F.lower(text), *FOLD)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = _where(_where(column, "/", _RESPONSIBILITY), "[(", _MEDIUM) if catalogue else column
+    text = F.when(F.right(text, F.lit(4)).rlike(r"\.\.|…|�"), F.regexp_replace(text, r"\s*(\.\.+|…|�)\s*$", "")).otherwise(text)
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), *FOLD), r"\s\s+|[\t\n\r]", " "))
 
 
 def squeezed(column: Column) -> Column:
@@ -66,9 +76,15 @@ def squeezed(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, r"[^\p{L}\p{N}]+", " "))
 
 
-def main_part(column: Column, signs: str = ":;?.") -> Column:
-    """What stands before the first colon, semicolon, question mark, full stop or dash between blanks."""
-    return F.regexp_extract(column, r"^(.+?)(?:\s*[" + signs + r"](?:\s|$)|\s[-–—]\s|$)", 1)
+#: What stands between a title and its subtitle, and what does so for certain.
+BREAKS, SURE_BREAKS = (": ", "; ", "? ", ". ", " - ", " – ", " — "), (": ", "; ", " - ", " – ", " — ")
+
+
+def main_part(column: Column, breaks: tuple[str, ...] = BREAKS) -> Column:
+    """What stands before the first break."""
+    for sign in breaks[1:]:
+        column = F.replace(column, F.lit(sign), F.lit(breaks[0]))
+    return F.substring_index(column, breaks[0], 1)
 
 
 def isbn_core(column: Column) -> Column:
@@ -121,10 +137,12 @@ def _sign(side: str):
             parted = np.array([len(a) > len(b) + 3 for a, b in zip(whole, main)])
             alone = parted if side == "works" else ~parted
             long_ = np.array([len(a) >= OPENING + 8 for a in whole])
-            for mask, texts, bands, seed in ((np.ones(len(t), bool), whole, BANDS_WHOLE, 1), (alone, main if side == "works" else whole, BANDS_MAIN, 2), (long_, [a[:OPENING] for a in whole], BANDS_OPENING, 3)):
+            for mask, texts, bands, seed in ((np.ones(len(t), bool), whole, BANDS_WHOLE, 1), (alone, main if side == "works" else whole, BANDS_MAIN, 2)):
                 if mask.any():
                     keys = band_keys([x for x, m in zip(texts, mask) if m], bands, seed)
                     yield pd.DataFrame({"t": np.repeat(t[mask], bands), "key": keys.ravel() * 4 + seed})
+            opening = [xxhash.xxh3_64_intdigest(a[:OPENING]) >> (64 - KEY_BITS) for a, m in zip(whole, long_) if m]
+            yield pd.DataFrame({"t": t[long_], "key": np.array(opening, np.int64) * 4 + 3})
 
     return run
 
@@ -132,8 +150,10 @@ def _sign(side: str):
 def _titles(records: DataFrame, name: str) -> DataFrame:
     """(t, p, whole, main, head, odd) of every different plain title; ``p`` is its hash, ``odd`` marks signs of another work."""
     distinct = records.select("plain").distinct().withColumn("t", F.monotonically_increasing_id())
-    bare = F.regexp_replace("plain", r"^(the|a|an) ", "")
-    first = distinct.select("t", F.xxhash64("plain").alias("p"), squeezed(bare).alias("whole"), squeezed(main_part(bare)).alias("main"), squeezed(main_part(bare, ":;")).alias("head"), F.regexp_extract("plain", OTHER_WORK, 0).alias("odd"))
+    start = F.substring_index("plain", " ", 1)
+    bare = F.when(start.isin("the", "a", "an"), F.regexp_replace("plain", r"^(the|a|an) ", "")).otherwise(F.col("plain"))
+    may = F.regexp_replace(start, "[^a-z]", "").isin(*OTHER_STARTS) | F.right("plain", F.lit(3)).rlike("[0-9ivx]")
+    first = distinct.select("t", F.xxhash64("plain").alias("p"), squeezed(bare).alias("whole"), squeezed(main_part(bare)).alias("main"), squeezed(main_part(bare, SURE_BREAKS)).alias("head"), F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise("").alias("odd"))
     return cut(first.filter("whole <> ''"), name)  # written once: the numbers must not change
 
 
