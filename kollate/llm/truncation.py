@@ -30,9 +30,23 @@ LIMIT_ROWS, LIMIT_RATIO = 12, 5
 
 _MARK = r"(\\.\\.+|…|�|&(a|am|amp|l|lt|g|gt|q|qu|quo|quot|#\\d*)?)"
 
-#: A value in lower case, without marks of a cut at the end, with one sign for all digits and one for all blanks.
-_BODY = rf"""trim(translate(lower(
-  CASE WHEN right(value, 24) RLIKE '{_MARK}\\s*$' THEN regexp_replace(value, '(\\s*{_MARK})+\\s*$', '') ELSE value END), '123456789\t\n\r ', '000000000    '))"""
+#: A value in lower case, without marks of a cut at the end.
+_LOWER = rf"""lower(CASE WHEN right(value, 24) RLIKE '{_MARK}\\s*$' THEN regexp_replace(value, '(\\s*{_MARK})+\\s*$', '') ELSE value END)"""
+#: The same with one sign for all digits and one for all blanks; most values have neither and are left as they are.
+_PLAIN = r"trim(CASE WHEN low RLIKE '[1-9\\t\\n\\r]' THEN translate(low, '123456789\t\n\r', '000000000   ') ELSE low END)"
+#: The words of such a body, or of its end.
+_SPLIT = "split(CASE WHEN contains({0}, '  ') THEN regexp_replace({0}, ' +', ' ') ELSE {1} END, ' ')"
+
+
+def _steps(source: str, columns: str, words: str) -> str:
+    """SQL that takes values apart in steps, each form computed once."""
+    return rf"""
+SELECT {columns}, t.w FROM (
+  SELECT {columns}, b.body FROM (
+    SELECT {columns}, a.low FROM (SELECT * FROM {source}) LATERAL VIEW inline(array(named_struct('low', {_LOWER}))) a AS low)
+  LATERAL VIEW inline(array(named_struct('body', {_PLAIN}))) b AS body)
+LATERAL VIEW inline(array(named_struct('w', {words}))) t AS w"""
+
 
 VALUES = r"""
 SELECT {key} AS key, {source} AS source, f.field, f.value FROM {{table}}
@@ -45,7 +59,7 @@ SELECT field, g.a, g.b, g.c, sum(if(g.last, 0, n)) AS inside, sum(if(g.last, n,
   SELECT field, n, explode(transform(w, (c, i) -> struct(
     CASE WHEN i >= 2 THEN w[i - 2] ELSE '' END AS a, CASE WHEN i >= 1 THEN w[i - 1] ELSE '' END AS b, c,
     i = size(w) - 1 AS last))) AS g
-  FROM (SELECT field, split({_BODY}, ' +') AS w, n FROM (SELECT field, value, count(*) AS n FROM {{rows}} GROUP BY field, value)) WHERE w[0] <> '')
+  FROM ({_steps("(SELECT field, value, count(*) AS n FROM {rows} GROUP BY field, value)", "field, n", _SPLIT.format("body", "body"))}) WHERE w[0] <> '')
 GROUP BY field, g.a, g.b, g.c
 """
 
@@ -92,11 +106,7 @@ LEFT JOIN {longer_words} lw ON lw.h = xxhash64(g.field, g.c)
 TAILS = rf"""
 SELECT {{columns}}, len, marked,
   xxhash64(field, CASE WHEN size(w) >= 3 THEN w[size(w) - 3] ELSE '' END, CASE WHEN size(w) >= 2 THEN w[size(w) - 2] ELSE '' END, w[size(w) - 1]) AS h
-FROM (
-  SELECT {{columns}}, len, marked, t.w FROM (
-    SELECT {{columns}}, length(value) AS len, right(value, 24) RLIKE '{_MARK}\\s*$' AS marked, b.body
-    FROM {{{{rows}}}} LATERAL VIEW inline(array(named_struct('body', {_BODY}))) b AS body)
-  LATERAL VIEW inline(array(named_struct('w', split(CASE WHEN contains(body, '  ') THEN body ELSE substring_index(body, ' ', -3) END, ' +')))) t AS w)
+FROM ({_steps("(SELECT *, length(value) AS len, right(value, 24) RLIKE '" + _MARK + chr(92) * 2 + "s*$' AS marked FROM {{rows}})", "{columns}, len, marked", _SPLIT.format("body", "substring_index(body, ' ', -3)"))})
 """
 
 
