@@ -37,6 +37,8 @@ YEARS_APART = 3
 THRESHOLD = 0.5
 #: Share of titles that must have a word for it to count as one.
 KNOWN_SHARE = 3e-4
+#: Letters of a word that can't be another's slip.
+WORD = 4
 #: Edits by which titles of one work may differ, as a share of their length, and at least.
 EDITS, EDITS_LEAST = 0.08, 3
 
@@ -109,17 +111,17 @@ def band_keys(texts: list[str], bands: int, seed: int) -> np.ndarray:
     for k in range(1, SHINGLE):
         inside[ends - k] = False  # no shingle begins in the last signs of a text
     base = base[inside[: len(base)]]
-    base = (base ^ (base >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    base = ((base ^ (base >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
     rng = np.random.default_rng(seed)
-    keys = np.empty((len(texts), bands), np.int64)
+    keys, hashed = np.empty((len(texts), bands), np.int64), np.empty_like(base)
     for band in range(bands):
         key = np.full(len(texts), band, np.uint64)
         for _ in range(ROWS):
-            mult, add = (rng.integers(0, 2**63, dtype=np.uint64) << np.uint64(1)) | np.uint64(1), rng.integers(0, 2**63, dtype=np.uint64)
-            hashed = base * mult + add
-            hashed ^= hashed >> np.uint64(29)
-            key = (key ^ np.minimum.reduceat(hashed, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            mult, add = rng.integers(0, 2**32, 2, dtype=np.uint32)
+            np.multiply(base, mult | np.uint32(1), out=hashed)
+            np.add(hashed, add, out=hashed)
+            key = (key ^ np.minimum.reduceat(hashed, starts).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         keys[:, band] = (key >> np.uint64(64 - KEY_BITS)).astype(np.int64)
     return keys
 
@@ -147,13 +149,21 @@ def _sign(side: str):
     return run
 
 
+def _once(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones, each computed once: the planner would copy them into every use."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _titles(records: DataFrame, name: str) -> DataFrame:
     """(t, p, whole, main, head, odd) of every different plain title; ``p`` is its hash, ``odd`` marks signs of another work."""
     distinct = records.select("plain").distinct().withColumn("t", F.monotonically_increasing_id())
     start = F.substring_index("plain", " ", 1)
     bare = F.when(start.isin("the", "a", "an"), F.regexp_replace("plain", r"^(the|a|an) ", "")).otherwise(F.col("plain"))
     may = F.regexp_replace(start, "[^a-z]", "").isin(*OTHER_STARTS) | F.right("plain", F.lit(3)).rlike("[0-9ivx]")
-    first = distinct.select("t", F.xxhash64("plain").alias("p"), squeezed(bare).alias("whole"), squeezed(main_part(bare)).alias("main"), squeezed(main_part(bare, SURE_BREAKS)).alias("head"), F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise("").alias("odd"))
+    first = _once(distinct, ["t", "plain"], bare=bare, odd=F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise(""))
+    first = _once(first, ["t", "plain", "odd", "bare"], whole=squeezed(F.col("bare")), m=main_part(F.col("bare")), h=main_part(F.col("bare"), SURE_BREAKS))
+    part = lambda c: F.when(F.length(c) == F.length("bare"), F.col("whole")).otherwise(squeezed(F.col(c)))
+    first = first.select("t", F.xxhash64("plain").alias("p"), "whole", part("m").alias("main"), part("h").alias("head"), "odd")
     return cut(first.filter("whole <> ''"), name)  # written once: the numbers must not change
 
 
@@ -167,15 +177,11 @@ def candidate_titles(left: DataFrame, right: DataFrame) -> DataFrame:
 def _tokens(titles: DataFrame) -> DataFrame:
     """(token, known): words that a share of titles has, so that they are no slips."""
     total = titles.count()
-    counts = titles.select(F.explode(F.array_distinct(F.split("whole", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    words = titles.select(F.explode(F.split("whole", " ")).alias("token")).filter(F.length("token") >= WORD)
+    counts = words.groupBy("token").agg(F.count("*").alias("n"))
     return counts.filter(F.col("n") >= max(4, KNOWN_SHARE * total)).select("token")
 
 
-def _once(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
-    """The kept columns and new ones, each computed once: the planner would copy them into every use."""
-    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: DataFrame) -> DataFrame:
     """What sets the titles of each candidate pair apart. Pairs with more edits than slips make are no matches and are left out.
 
@@ -212,7 +218,7 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
     lone = both.filter("d > 1 AND size(lone_l) > 0 AND size(lone_r) > 0").select("l", "r", F.inline(F.concat(
         F.transform("lone_l", lambda w: F.struct(F.lit(1).alias("left"), w.alias("token"))),
         F.transform("lone_r", lambda w: F.struct(F.lit(0).alias("left"), w.alias("token"))))))
-    real = lone.filter(F.length("token") >= 4).join(known, "token", "left_semi").groupBy("l", "r").agg(F.sum("left").alias("real_l"), F.sum(1 - F.col("left")).alias("real_r"))
+    real = lone.filter(F.length("token") >= WORD).join(known, "token", "left_semi").groupBy("l", "r").agg(F.sum("left").alias("real_l"), F.sum(1 - F.col("left")).alias("real_r"))
     both = both.join(real, ["l", "r"], "left").fillna(0, ["real_l", "real_r"])
     return both.select("l", "r", "d", "apart", "dropped", "cut_off", "longer", "other", F.least("real_l", "real_r", F.lit(3)).cast("double").alias("swapped"))
 
@@ -266,20 +272,25 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
     pairs = cut(candidate_titles(left, right), "blocks")
     features = title_features(pairs, left, right, _tokens(left))
     # From titles to works.
-    wt = w.select("canonical_id", "p").distinct().join(left.select("p", F.col("t").alias("l")), "p").select("canonical_id", "l")
-    ct = c.select("trove_work_id", "p").distinct().join(right.select("p", F.col("t").alias("r")), "p").select("trove_work_id", "r")
-    best = features.join(wt, "l").join(ct, "r").groupBy("canonical_id", "trove_work_id").agg(F.min_by(F.struct("d", *FEATURES[:6]), F.col("d") + 5 * F.col("swapped") + 50 * (F.col("other") + F.col("longer"))).alias("f"))
+    pairs = features.join(left.select(F.col("t").alias("l"), F.col("p").alias("pl")), "l").join(right.select(F.col("t").alias("r"), F.col("p").alias("pr")), "r")
+    # Each title's works once, however many rows say so, and only of titles that are paired.
+    wt = w.select("canonical_id", F.col("p").alias("pl")).join(pairs.select("pl").distinct(), "pl", "left_semi").distinct()
+    ct = c.select("trove_work_id", F.col("p").alias("pr")).join(pairs.select("pr").distinct(), "pr", "left_semi").distinct()
+    best = pairs.join(wt, "pl").join(ct, "pr")
+    best = best.groupBy("canonical_id", "trove_work_id").agg(F.min_by(F.struct("d", *FEATURES[:6]), F.col("d") + 5 * F.col("swapped") + 50 * (F.col("other") + F.col("longer"))).alias("f"))
+    best = cut(best, "best")
     best = best.select("canonical_id", "trove_work_id", "f.*")
-    wy = w.filter("year is not null").groupBy("canonical_id").agg(F.collect_set("year").alias("years"))  # 600 at most
-    cy = c.filter("year is not null").groupBy("trove_work_id").agg(F.collect_set("year").alias("issued"))
+    # Sets of years have 600 members at most.
+    paired = w.join(best.select("canonical_id").distinct(), "canonical_id", "left_semi")
+    wy = paired.groupBy("canonical_id").agg(F.collect_set("year").alias("years"), F.bool_or(F.col("core").isNotNull()).alias("has_w"))
+    cy = c.groupBy("trove_work_id").agg(F.collect_set("year").alias("issued"), F.bool_or(F.size("isbns") > 0).alias("has_c"))
     best = best.join(wy, "canonical_id", "left").join(cy, "trove_work_id", "left")
     gap = F.array_min(F.transform("years", lambda a: F.array_min(F.transform("issued", lambda b: F.abs(a - b)))))
     best = best.withColumn("gap", gap).drop("years", "issued")
-    wi = w.filter("core is not null").select("canonical_id", "core").distinct()
-    ci = c.select("trove_work_id", F.explode("isbns").alias("isbn")).select("trove_work_id", isbn_core(F.col("isbn")).alias("core")).dropna().distinct()
-    has_w, has_c = wi.select("canonical_id").distinct().withColumn("has_w", F.lit(True)), ci.select("trove_work_id").distinct().withColumn("has_c", F.lit(True))
+    wi = paired.filter("core is not null").select("canonical_id", "core").distinct()
+    ci = c.filter("size(isbns) > 0").select("trove_work_id", F.explode("isbns").alias("isbn")).select("trove_work_id", isbn_core(F.col("isbn")).alias("core")).dropna().distinct()
     shared = best.select("canonical_id", "trove_work_id").join(ci, "trove_work_id").join(wi, ["canonical_id", "core"], "left_semi").select("canonical_id", "trove_work_id").distinct().withColumn("shared", F.lit(True))
-    best = best.join(has_w, "canonical_id", "left").join(has_c, "trove_work_id", "left").join(shared, ["canonical_id", "trove_work_id"], "left")
+    best = best.join(shared, ["canonical_id", "trove_work_id"], "left")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     best = best.select("canonical_id", "trove_work_id", "d", "gap", *FEATURES[:6], flag(F.col("gap") > YEARS_APART).alias("far"),
                        flag(F.col("shared")).alias("same_isbn"), (flag(F.col("has_w") & F.col("has_c")) * (1 - flag(F.col("shared")))).alias("other_isbn"))

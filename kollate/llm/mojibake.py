@@ -271,16 +271,18 @@ def restore(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def mend(df: DataFrame, text: str) -> DataFrame:
     """All rows and columns, the text restored where it was garbled and can be; no row is shuffled for it."""
-    odd = F.coalesce(suspect(F.col(text)), F.lit(False))
-    held = df.filter(odd).select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
-    patterns = _patterns(held.select("text"))
+    odd = suspect(F.col(text))
+    patterns = _patterns(df.filter(odd).select(F.col(text).alias("text")))
+
+    def one(t: str) -> str | None:
+        found, out, kinds = repair(t, patterns.value)
+        return out if found and "lost" not in kinds else None
 
     @F.pandas_udf(T.StringType())
     def mended(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: out if (done := repair(t, patterns.value))[0] and "lost" not in done[2] and (out := done[1]) else t)
+        return texts.map(one, na_action="ignore")
 
-    back = held.select("row.*", mended("text").alias("__mended")).withColumn(text, F.col("__mended")).drop("__mended")
-    return df.filter(~odd).unionByName(back)
+    return df.withColumn(text, F.coalesce(mended(F.when(odd, F.col(text))), F.col(text)))
 
 
 def garbled(texts: DataFrame):

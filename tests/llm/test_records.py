@@ -35,8 +35,8 @@ def test_surviving_values(spark):
 
 
 def test_large_groups_are_decided_in_rounds(spark):
-    rows = [(1, "title", f"title number {i} of many", i, i, i % 5) for i in range(300)] + [(1, "title", "the last and best title", 999, 10**6, 9)]
-    df = spark.createDataFrame(rows, "work long, field string, value string, first long, delivered long, trust int")
+    rows = [(1, "title", f"title number {i} of many", i, i, i % 5, 301) for i in range(300)] + [(1, "title", "the last and best title", 999, 10**6, 9, 301)]
+    df = spark.createDataFrame(rows, "work long, field string, value string, first long, delivered long, trust int, n long")
     assert [tuple(r) for r in consensus.survivors(df, chunk=8).collect()] == [(1, "title", "the last and best title", 999)]
 
 
