@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kollate.llm import mojibake
 from kollate.session import cut
 
-SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN = 4, 7, 13, 4
+SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN = 4, 7, 16, 5
 #: Signs of a long title's opening, by which a title that was cut meets the whole one.
 OPENING = 64
 #: Bits of a block key.
