@@ -54,14 +54,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors of a cluster, once per application, so that they need no copy of their own."""
+    """Sends this package to the executors of a cluster, once per application, so that they need no copy of their own.
+
+    The archive lies in the shared folder; where that is no file system of the driver, executors must have the package.
+    """
     context = spark.sparkContext
     if context.master.startswith("local[") or context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
-    home = os.path.dirname(os.path.abspath(__file__))
-    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="kollate-"), "kollate"), "zip", os.path.dirname(home), os.path.basename(home))
-    context.addPyFile(made)
+    folder = shared_dir(spark).removeprefix("file://")
+    if folder.startswith("/"):
+        home = os.path.dirname(os.path.abspath(__file__))
+        os.makedirs(f"{folder}/kollate", exist_ok=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/kollate/package-{context.applicationId}", "zip", os.path.dirname(home), os.path.basename(home)))
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
