@@ -66,14 +66,21 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
     Similarities are computed once for each pair of different texts, however many rows share them. With
     a common start of four signs the similarity is 0.4 + 0.6 jaro, and jaro is at most
-    (2 + shorter/longer)/3, so texts too different in length are left out unseen.
+    (2 + shorter/longer)/3, so texts too different in length are left out unseen. Signs in common bound it as well: jaro
+    is at most (m/n + m/l + 1)/3, where m counts the signs both have in any order; each text's signs are counted once.
     """
-    a = left.select(F.col(left_key).alias("_a")).distinct().withColumn("_p", F.left(F.col("_a"), F.lit(n)))
-    b = right.select(F.col(right_key).alias("_b")).distinct().withColumn("_p", F.left(F.col("_b"), F.lit(n)))
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    counts = lambda c: F.array(*[F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in signs], F.length(F.translate(F.col(c), signs, "")))
+    a = left.select(F.col(left_key).alias("_a")).distinct().withColumn("_p", F.left(F.col("_a"), F.lit(n))).withColumn("_ca", counts("_a"))
+    b = right.select(F.col(right_key).alias("_b")).distinct().withColumn("_p", F.left(F.col("_b"), F.lit(n))).withColumn("_cb", counts("_b"))
     pairs = a.join(b, "_p").drop("_p")
     if n >= 4:
         bound = 3 * (least - 0.4) / 0.6 - 2
-        pairs = pairs.filter(F.least(F.length("_a"), F.length("_b")) >= bound * F.greatest(F.length("_a"), F.length("_b")))
+        pairs = pairs.filter(F.least(F.length("_a"), F.length("_b")) >= bound * F.greatest(F.length("_a"), F.length("_b")) - 1e-6)
+        common = F.aggregate(F.zip_with("_ca", "_cb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        jaro = (common / F.length("_a") + common / F.length("_b") + 1) / 3
+        pairs = pairs.filter(0.4 + 0.6 * jaro >= least - 1e-9)
+    pairs = pairs.select("_a", "_b")
     scored = pairs.withColumn("similarity", jaro_winkler("_a", "_b")).filter(F.col("similarity") >= least)
     return left.join(scored, left[left_key] == F.col("_a")).join(right, F.col("_b") == right[right_key]).drop("_a", "_b")
 
