@@ -1,8 +1,8 @@
 """Matching entities across sources without keys (problem 3).
 
 Candidates come from MinHash blocks over character shingles of several attributes: the whole title and its
-main part (for catalogue titles without the subtitle); long titles also meet by an equal opening, as one
-that was cut has. A band
+main part (for catalogue titles without the subtitle); long titles also meet by an equal opening, and a work's
+title that may have been cut meets the catalogue's titles by bands of the longest of several openings that it fills. A band
 agrees with a probability of similarity to the power of ``ROWS``. Equal titles are one record in
 the blocks, however many rows share them. Each candidate pair gets similarity features; a logistic
 classifier, trained on a bounded sample of pairs with weak labels, turns them into probabilities, which
@@ -28,6 +28,8 @@ from kollate.session import cut
 SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN = 4, 7, 16, 5
 #: Signs of a long title's opening, by which a title that was cut meets the whole one.
 OPENING = 64
+#: Letters and digits of the openings by whose bands a cut title of any length meets the whole one; shorter titles don't meet so.
+OPENINGS, BANDS_OPENING = (12, 16, 24, 32, 48, 64, 96), 5
 #: Bits of a block key.
 KEY_BITS = 40
 #: Pairs of either weak label used to fit; a third of them only to calibrate.
@@ -39,6 +41,8 @@ THRESHOLD = 0.5
 KNOWN_SHARE = 3e-4
 #: Letters of a word that can't be another's slip.
 WORD = 4
+#: Signs of what a cut took, by which the works it may have been are told apart.
+REST = 60
 #: Edits by which titles of one work may differ, as a share of their length, and at least.
 EDITS, EDITS_LEAST = 0.08, 3
 
@@ -130,7 +134,8 @@ def _sign(side: str):
     """Signs a batch of titles: the whole of each, its opening if it is long, and the part that may stand alone.
 
     Of works that is the main part of a title with a subtitle, of the catalogue a title without one, so that titles
-    which only share their main part don't meet.
+    which only share their main part don't meet. A work's title may be cut, so it is signed by the longest opening
+    it fills, and one of the catalogue by all it exceeds.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,6 +148,13 @@ def _sign(side: str):
                 if mask.any():
                     keys = band_keys([x for x, m in zip(texts, mask) if m], bands, seed)
                     yield pd.DataFrame({"t": np.repeat(t[mask], bands), "key": keys.ravel() * 4 + seed})
+            tight = [a.replace(" ", "") for a in whole]
+            fills = np.searchsorted(OPENINGS, [len(a) for a in tight], side="right")
+            for i, n in enumerate(OPENINGS):
+                mask = fills == i + 1 if side == "works" else fills > i
+                if mask.any():
+                    keys = band_keys([a[:n] for a, m in zip(tight, mask) if m], BANDS_OPENING, 4 + i)
+                    yield pd.DataFrame({"t": np.repeat(t[mask], BANDS_OPENING), "key": keys.ravel() * 4})
             opening = [xxhash.xxh3_64_intdigest(a[:OPENING]) >> (64 - KEY_BITS) for a, m in zip(whole, long_) if m]
             yield pd.DataFrame({"t": t[long_], "key": np.array(opening, np.int64) * 4 + 3})
 
@@ -186,7 +198,8 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
     """What sets the titles of each candidate pair apart. Pairs with more edits than slips make are no matches and are left out.
 
     The catalogue may give the title without its subtitle (``dropped``), and the work's title may be cut off
-    (``cut_off``); then the part that both have is compared. A catalogue title that adds a subtitle is ``longer``.
+    (``cut_off``); then the part that both have is compared, and ``rest`` is what the cut took. A catalogue title that adds a
+    subtitle is ``longer``, unless the work's title ends inside a word of it.
     ``swapped`` counts words of the vocabulary that stand in for each other.
     """
     l = left.select(F.col("t").alias("l"), *(F.col(c).alias(f"{c}_l") for c in ("whole", "main", "head", "odd")))
@@ -195,24 +208,26 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
     near = lambda a, b: F.abs(size(a) - size(b)) <= 3
     both = pairs.join(l, "l").join(r, "r")
     part_l = F.when(near("whole_l", "whole_r"), F.col("whole_l")).when(near("head_l", "whole_r"), F.col("head_l")).when(near("main_l", "whole_r"), F.col("main_l")).otherwise(F.col("whole_l"))
-    longer = ~near("whole_l", "whole_r") & (size("whole_r") > size("whole_l")) & (near("head_r", "whole_l") | near("main_r", "whole_l"))
-    both = _once(both, ["l", "r", "whole_l", "whole_r", "main_r"], part_l=part_l, longer=longer, other=(F.col("odd_l") != F.col("odd_r")))
-    cut_off = ~F.col("longer") & (size("whole_r") > size("whole_l") + 3) & (size("whole_l") > size("main_r") + 12)
+    inside = F.startswith(F.col("whole_r"), F.col("whole_l")) & (F.substring(F.col("whole_r"), size("whole_l") + 1, F.lit(1)) != " ")
+    longer = ~near("whole_l", "whole_r") & (size("whole_r") > size("whole_l")) & (near("head_r", "whole_l") | near("main_r", "whole_l")) & ~inside
+    both = _once(both, ["l", "r", "whole_l", "whole_r"], part_l=part_l, longer=longer, other=(F.col("odd_l") != F.col("odd_r")))
+    cut_off = ~F.col("longer") & (size("whole_r") > size("whole_l") + 3)
     # A cut leaves the last word in doubt.
     part_r = F.when(cut_off | F.col("longer"), F.substring(F.col("whole_r"), F.lit(1), size("whole_l"))).otherwise(F.col("whole_r"))
-    both = _once(both, ["l", "r", "part_l", "longer", "other"], part_r=part_r, cut_off=cut_off, dropped=size("part_l") < size("whole_l"))
+    rest = F.when(cut_off, F.substring(F.col("whole_r"), size("whole_l") + 1, F.lit(REST)))
+    both = _once(both, ["l", "r", "part_l", "longer", "other"], part_r=part_r, cut_off=cut_off, rest=rest, dropped=size("part_l") < size("whole_l"))
     tight = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     flags = ["dropped", "longer", "cut_off", "other"]
-    both = _once(both, ["l", "r", "part_l", "part_r", *flags], a=tight("part_l"), b=tight("part_r"))
+    both = _once(both, ["l", "r", "part_l", "part_r", "rest", *flags], a=tight("part_l"), b=tight("part_r"))
     han = F.col("a").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     limit = F.when(han, 2).otherwise(F.greatest(F.lit(EDITS_LEAST), F.ceil(EDITS * F.greatest(size("a"), size("b")))))
-    both = _once(both, ["l", "r", "part_l", "part_r", "a", "b", *flags], edits=limit.cast("int"), han=han)
+    both = _once(both, ["l", "r", "part_l", "part_r", "rest", "a", "b", *flags], edits=limit.cast("int"), han=han)
     both = both.filter(F.abs(size("a") - size("b")) <= F.col("edits"))
-    both = _once(both, ["l", "r", "part_l", "part_r", "a", "b", "han", *flags], d=F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("levenshtein(a, b, edits)")))
+    both = _once(both, ["l", "r", "part_l", "part_r", "rest", "a", "b", "han", *flags], d=F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("levenshtein(a, b, edits)")))
     # Where words aren't divided, two signs in the place of two others are a word.
     both = both.filter((F.col("d") >= 0) & ~(F.col("han") & (F.col("d") == 2) & (size("a") == size("b"))))
     words = lambda c: F.split(F.col(c), " ")
-    both = both.select("l", "r", "d", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
+    both = both.select("l", "r", "d", "rest", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
                        F.array_except(words("part_l"), words("part_r")).alias("lone_l"), F.array_except(words("part_r"), words("part_l")).alias("lone_r"))
     both = cut(both, "pairs")
     lone = both.filter("d > 1 AND size(lone_l) > 0 AND size(lone_r) > 0").select("l", "r", F.inline(F.concat(
@@ -220,7 +235,7 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
         F.transform("lone_r", lambda w: F.struct(F.lit(0).alias("left"), w.alias("token"))))))
     real = lone.filter(F.length("token") >= WORD).join(known, "token", "left_semi").groupBy("l", "r").agg(F.sum("left").alias("real_l"), F.sum(1 - F.col("left")).alias("real_r"))
     both = both.join(real, ["l", "r"], "left").fillna(0, ["real_l", "real_r"])
-    return both.select("l", "r", "d", "apart", "dropped", "cut_off", "longer", "other", F.least("real_l", "real_r", F.lit(3)).cast("double").alias("swapped"))
+    return both.select("l", "r", "d", "rest", "apart", "dropped", "cut_off", "longer", "other", F.least("real_l", "real_r", F.lit(3)).cast("double").alias("swapped"))
 
 
 FEATURES = ["apart", "dropped", "cut_off", "longer", "other", "swapped", "far", "same_isbn", "other_isbn"]
@@ -258,6 +273,27 @@ def _year(column: str) -> Column:
     return F.expr(f"try_cast(regexp_extract({column}, '(1[5-9]|20)[0-9][0-9]', 0) AS INT)")
 
 
+def _uncut_first(pairs: DataFrame, w: DataFrame, left: DataFrame) -> DataFrame:
+    """Pairs of works and catalogue titles without those by a cut title where another title of the work shows how it goes on."""
+    sizes = left.select(F.col("p").alias("pl"), "whole")
+    cuts = pairs.filter("cut_off = 1").select("canonical_id", "pl").distinct().join(sizes, "pl")
+    others = w.select("canonical_id", F.col("p").alias("pl")).distinct().join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").join(sizes, "pl").select("canonical_id", F.col("whole").alias("o"))
+    n = F.length("whole")
+    known = cuts.join(others, "canonical_id").filter((F.length("o") > n + 3) & (F.left("o", F.ceil(n / 2).cast("int")) == F.left("whole", F.ceil(n / 2).cast("int"))))
+    known = known.select("canonical_id", "pl", F.lit(1.0).alias("cut_off")).distinct()
+    return pairs.join(known, ["canonical_id", "pl", "cut_off"], "left_anti")
+
+
+def _vague(best: DataFrame) -> DataFrame:
+    """Marks pairs by a cut title that goes on in different ways in the titles it may be paired with: without a shared ISBN
+    nothing says which. Rests are told apart by the first and the last of them."""
+    rests = best.filter("cut_off = 1 AND far = 0 AND other = 0 AND longer = 0").groupBy("canonical_id").agg(F.min("rest").alias("a"), F.max("rest").alias("b"))
+    n = F.least(F.length("a"), F.length("b"))
+    several = rests.filter(F.levenshtein(F.left("a", n), F.left("b", n)) > EDITS_LEAST).select("canonical_id", F.lit(True).alias("several"))
+    vague = (F.col("cut_off") == 1) & (F.col("same_isbn") == 0) & F.coalesce("several", F.lit(False))
+    return best.join(several, "canonical_id", "left").withColumn("vague", vague).drop("several", "rest")
+
+
 def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(canonical_id, trove_work_id, confidence) of the pairs that are the same work.
 
@@ -276,8 +312,8 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
     # Each title's works once, however many rows say so, and only of titles that are paired.
     wt = w.select("canonical_id", F.col("p").alias("pl")).join(pairs.select("pl").distinct(), "pl", "left_semi").distinct()
     ct = c.select("trove_work_id", F.col("p").alias("pr")).join(pairs.select("pr").distinct(), "pr", "left_semi").distinct()
-    best = pairs.join(wt, "pl").join(ct, "pr")
-    best = best.groupBy("canonical_id", "trove_work_id").agg(F.min_by(F.struct("d", *FEATURES[:6]), F.col("d") + 5 * F.col("swapped") + 50 * (F.col("other") + F.col("longer"))).alias("f"))
+    best = _uncut_first(pairs.join(wt, "pl"), w, left).join(ct, "pr")
+    best = best.groupBy("canonical_id", "trove_work_id").agg(F.min_by(F.struct("d", "rest", *FEATURES[:6]), F.col("d") + 5 * F.col("swapped") + 50 * (F.col("other") + F.col("longer"))).alias("f"))
     best = cut(best, "best")
     best = best.select("canonical_id", "trove_work_id", "f.*")
     # Sets of years have 600 members at most.
@@ -292,11 +328,11 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
     shared = best.select("canonical_id", "trove_work_id").join(ci, "trove_work_id").join(wi, ["canonical_id", "core"], "left_semi").select("canonical_id", "trove_work_id").distinct().withColumn("shared", F.lit(True))
     best = best.join(shared, ["canonical_id", "trove_work_id"], "left")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    best = best.select("canonical_id", "trove_work_id", "d", "gap", *FEATURES[:6], flag(F.col("gap") > YEARS_APART).alias("far"),
+    best = best.select("canonical_id", "trove_work_id", "d", "rest", "gap", *FEATURES[:6], flag(F.col("gap") > YEARS_APART).alias("far"),
                        flag(F.col("shared")).alias("same_isbn"), (flag(F.col("has_w") & F.col("has_c")) * (1 - flag(F.col("shared")))).alias("other_isbn"))
-    best = cut(best, "features")
+    best = cut(_vague(cut(best, "features")), "features")
     # Weak labels: a shared ISBN or an equal title, no years apart, against years apart, another work's marks, or other words.
-    yes = F.expr(f"other = 0 AND longer = 0 AND swapped = 0 AND far = 0 AND (same_isbn = 1 OR d = 0) AND apart < 0.12")
+    yes = F.expr(f"other = 0 AND longer = 0 AND swapped = 0 AND far = 0 AND NOT vague AND (same_isbn = 1 OR d = 0) AND apart < 0.12")
     no = F.expr("far = 1 OR other = 1 OR longer = 1 OR (swapped > 0 AND same_isbn = 0)")
     labelled = best.withColumn("label", F.when(yes, 1).when(no, 0)).filter("label is not null").withColumn("h", F.xxhash64("canonical_id", "trove_work_id"))
     sample = pd.concat([labelled.filter(F.col("label") == v).orderBy("h").limit(SAMPLE).toPandas() for v in (0, 1)])
@@ -318,5 +354,5 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
     below = F.when(F.col("score") <= float(steps[0]), float(levels[0])).otherwise(between)
     scored = best.withColumn("score", score).withColumn("confidence", F.round(below, 6))
     # What the model can't weigh: by definition other works.
-    scored = scored.filter("other = 0 AND far = 0 AND longer = 0 AND swapped = 0")
+    scored = scored.filter("other = 0 AND far = 0 AND longer = 0 AND swapped = 0 AND NOT vague")
     return scored.filter(F.col("confidence") >= threshold).select("canonical_id", "trove_work_id", "confidence")

@@ -63,6 +63,24 @@ def test_matching(spark):
     assert matching.matched(works_.limit(0), found).count() == 0
 
 
+def test_cut_titles(spark):
+    titles = catalogue()
+    sub = titles[200] + ": who decides, and what it is for"
+    w = [(i, i, t, 2010, None) for i, t in enumerate(titles[:60])]
+    # Inside a word of a plain title, shortly after the break, inside the main part, and between words.
+    w += [(501, 501, titles[201][:-6], 2010, None), (502, 502, titles[200] + ": who deci", 2010, None), (503, 503, titles[215].split(" in the ")[0][:-4], 2010, None), (504, 504, titles[230].rsplit(" ", 2)[0], 2010, None)]
+    # The whole subtitle left out is another work; a cut that may be of two titles is neither; a title known whole isn't one that was cut.
+    w += [(505, 505, titles[245], 2010, None), (506, 506, "Comparison of glacial mora", 2010, None), (507, 507, "Surveys of nocturnal poll", 2010, None), (507, 507, "Surveys of nocturnal pollen in cities", 2010, None)]
+    t = [(f"w{i}", x, "2010", []) for i, x in enumerate(titles[:60])]
+    t += [("plain", titles[201], "2010", []), ("sub", sub, "2010", []), ("main", titles[215] + ": a reply to critics", "2010", []), ("words", titles[230], "2010", []), ("longer", titles[245] + ": a reply to critics", "2010", []),
+          ("one", "Comparison of glacial moraines and valleys", "2010", []), ("two", "Comparison of glacial moratoria under law", "2010", []), ("other", "Surveys of nocturnal pollinators on islands", "2010", [])]
+    works_ = spark.createDataFrame(w, "row_id long, canonical_id long, title string, reference_year int, isbn string")
+    found = spark.createDataFrame(t, "trove_work_id string, trove_title string, trove_issued string, trove_isbns array<string>")
+    got = {(r.canonical_id, r.trove_work_id) for r in matching.matched(works_, found).collect()}
+    assert {(501, "plain"), (502, "sub"), (503, "main"), (504, "words")} <= got
+    assert not {k for k in got if k[0] in (505, 506, 507)}
+
+
 def test_classifier_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 3))
