@@ -216,12 +216,22 @@ def prefix_titles(t):
     return link.prefix_pairs(a, b, "k", "j").select("k", "j")
 
 
-@query(f"""WITH {WORKS}, a AS (SELECT DISTINCT regexp_replace(lower(trim(title)), '[^a-z0-9]', '', 'g') AS k FROM works), b AS (SELECT DISTINCT regexp_replace(lower(trim(trove_title)), '[^a-z0-9]', '', 'g') AS j FROM trove_title_candidates)
-SELECT k, j, round(jaro_winkler_similarity(k, j), 6) AS similarity FROM a JOIN b ON substr(k, 1, 10) = substr(j, 1, 10) WHERE length(k) >= 10 AND length(j) >= 10 AND jaro_winkler_similarity(k, j) >= 0.97""")
-def fuzzy_titles(t):
+def close_titles(t, least):
     a = works(t).select(text.title_key("title").alias("k")).filter("length(k) >= 10").distinct()
     b = t.trove.select(text.title_key("trove_title").alias("j")).filter("length(j) >= 10").distinct()
-    return link.fuzzy_pairs(a, b, "k", "j", 0.97).select("k", "j", F.round("similarity", 6).alias("similarity"))
+    return link.fuzzy_pairs(a, b, "k", "j", least).select("k", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def fuzzy_titles(t):
+    return close_titles(t, 0.9)
+
+
+@query(f"""WITH {WORKS}, a AS (SELECT DISTINCT regexp_replace(lower(trim(title)), '[^a-z0-9]', '', 'g') AS k FROM works), b AS (SELECT DISTINCT regexp_replace(lower(trim(trove_title)), '[^a-z0-9]', '', 'g') AS j FROM trove_title_candidates)
+SELECT k, j, round(jaro_winkler_similarity(k, j), 6) AS similarity FROM a JOIN b ON substr(k, 1, 10) = substr(j, 1, 10) WHERE length(k) >= 10 AND length(j) >= 10 AND jaro_winkler_similarity(k, j) >= 0.97""")
+def fuzzy_titles_close(t):
+    """The part of them that the SQL covers."""
+    return close_titles(t, 0.97)
 
 
 @query(f"""{_TROVE}, o AS (SELECT l.canonical_id, CASE WHEN x.match_tier IS NOT NULL THEN x.match_tier WHEN EXISTS (SELECT 1 FROM c WHERE substr(ck, 1, 15) = substr(tk, 1, 15) AND length(tk) >= 15 AND length(ck) >= 15 AND (starts_with(ck, tk) OR starts_with(tk, ck))) THEN 'prefix' ELSE 'none' END AS tier FROM l LEFT JOIN x USING (canonical_id))
