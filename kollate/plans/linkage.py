@@ -72,10 +72,15 @@ def label_sql(a: str, b: str, subtitle_first: bool) -> str:
     return f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {a} = '' OR {b} = '' THEN 'omitted' WHEN {a} = {b} THEN 'exact' {order} {indel} WHEN length({p}) > 0 AND length({q}) > 0 AND {jac} THEN 'discordant' ELSE 'typographical_variant' END"
 
 
-#: Unicode letters differ between the engines' \w; the oracle covers pairs of ASCII titles, brute force in the tests the rest.
+#: Unicode letters differ between the engines' \w; the SQL covers pairs of ASCII titles, which queries of their own give; brute force in the tests covers all.
 _ASCII = "regexp_full_match(coalesce(title, ''), '[ -~]*') AND regexp_full_match(coalesce(ititle, ''), '[ -~]*')"
 
 
+def ascii_titles(rows):
+    ascii_ = lambda c: F.coalesce(c, F.lit("")).rlike("^[ -~]*$")
+    return rows.filter(ascii_("title") & ascii_("ititle"))
+
+
 def title_pairs(t):
     linked = index_links(t).join(works(t).select("canonical_id", "title"), "canonical_id")
     titles = t.index.filter("status = 'ok'").groupBy("eid").agg(F.min("title").alias("ititle"))
@@ -83,18 +88,38 @@ def title_pairs(t):
 
 
 @query(f"{_LINK}, p AS (SELECT canonical_id, title, ititle FROM m JOIN l USING (canonical_id) JOIN r USING (eid)) SELECT label, count(*) AS n FROM (SELECT {label_sql('title', 'ititle', False)} AS label FROM p WHERE {_ASCII}) GROUP BY 1")
+def index_title_labels_ascii(t):
+    return index_labels(ascii_titles(title_pairs(t)))
+
+
+def index_labels(pairs):
+    return pairs.select(disparity.title(F.col("title"), F.col("ititle"), subtitle_first=False).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
 def index_title_labels(t):
-    ascii_ = F.coalesce("title", F.lit("")).rlike("^[ -~]*$") & F.coalesce("ititle", F.lit("")).rlike("^[ -~]*$")
-    return title_pairs(t).filter(ascii_).select(disparity.title(F.col("title"), F.col("ititle"), subtitle_first=False).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return index_labels(title_pairs(t))
 
 
 @query(f"""WITH d AS (SELECT canonical_id, row_id, title, first_value(title) OVER (PARTITION BY canonical_id ORDER BY row_id) AS ititle FROM era_research_outputs_canonical)
 SELECT row_id, {label_sql('title', 'ititle', True)} AS label FROM d WHERE {_ASCII}""")
+def delivery_title_labels_ascii(t):
+    return delivery_labels(ascii_titles(deliveries(t)))
+
+
+def deliveries(t):
+    first = t.works.groupBy("canonical_id").agg(F.min_by("title", "row_id").alias("ititle"))
+    return t.works.join(first, "canonical_id")
+
+
+def delivery_labels(pairs):
+    return pairs.select("row_id", disparity.title(F.col("title"), F.col("ititle")).alias("label"))
+
+
+@query()
 def delivery_title_labels(t):
     """Each delivery's title against the work's first one."""
-    first = t.works.groupBy("canonical_id").agg(F.min_by("title", "row_id").alias("ititle"))
-    ascii_ = F.coalesce("title", F.lit("")).rlike("^[ -~]*$") & F.coalesce("ititle", F.lit("")).rlike("^[ -~]*$")
-    return t.works.join(first, "canonical_id").filter(ascii_).select("row_id", disparity.title(F.col("title"), F.col("ititle")).alias("label"))
+    return delivery_labels(deliveries(t))
 
 
 _PROFILE = """CASE WHEN y AND d AND NOT tt THEN 'coupled_lifecycle_drift' WHEN y AND d THEN 'coupled_with_title_disp' WHEN tt AND y THEN 'title_and_year_disp' WHEN tt AND d THEN 'title_and_doi_disp'

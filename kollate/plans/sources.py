@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kollate.functions import text
 from kollate.operators import clean, disparity, link, references, resolve
-from kollate.plans.linkage import catalogue_links, index_links, works
+from kollate.plans.linkage import ascii_titles, catalogue_links, deliveries, index_links, works
 from kollate.plans.linkage import _LINK, _TROVE, label_sql
 from kollate.plans.registry import query
 from kollate.session import shared_dir
@@ -140,10 +140,16 @@ _ASCII = "regexp_full_match(coalesce(title, ''), '[ -~]*') AND regexp_full_match
 
 @query(f"""WITH d AS (SELECT research_output_type AS kind, title, first_value(title) OVER (PARTITION BY canonical_id ORDER BY row_id) AS ititle FROM {W}), e AS (SELECT kind, {label_sql('title', 'ititle', True)} AS label FROM d WHERE {_ASCII})
 SELECT kind, label, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) >= 10""")
+def labels_by_type_ascii(t):
+    return typed_labels(ascii_titles(deliveries(t)))
+
+
+@query()
 def labels_by_type(t):
-    first = t.works.groupBy("canonical_id").agg(F.min_by("title", "row_id").alias("ititle"))
-    ascii_ = F.coalesce("title", F.lit("")).rlike("^[ -~]*$") & F.coalesce("ititle", F.lit("")).rlike("^[ -~]*$")
-    rows = t.works.join(first, "canonical_id").filter(ascii_)
+    return typed_labels(deliveries(t))
+
+
+def typed_labels(rows):
     return rows.groupBy(F.col("research_output_type").alias("kind"), disparity.title(F.col("title"), F.col("ititle")).alias("label")).agg(F.count("*").alias("n")).filter("n >= 10")
 
 

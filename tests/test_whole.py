@@ -23,3 +23,47 @@ def test_fuzzy_titles_from_090(spark):
     expected = {(k, j) for k in a for j in b if k[:10] == j[:10] and _jaro_winkler(k, j) >= 0.9}
     got = {(r.k, r.j): r.similarity for r in QUERIES["fuzzy_titles"](spark, SMALL).collect()}
     assert set(got) == expected and min(got.values()) < 0.97
+
+
+def brute_label(a, b, subtitle_first):
+    """The title rules one by one; on texts without combining marks, which the engines class differently."""
+    if not a or not b:
+        return "omitted"
+    if a == b:
+        return "exact"
+    signs, to = (r"[^\w\s]", "") if subtitle_first else (r"[^a-zA-Z0-9\s]", " ")
+    p, q = (re.sub(r"\s+", " ", re.sub(signs, to, x)).strip().lower() for x in (a, b))
+    x, y = a.strip(" ").lower(), b.strip(" ").lower()
+    short, long_ = (x, y) if len(x) < len(y) else (y, x)
+    cropped = x != y and any(long_.startswith(short + m) or long_.split(m.strip())[0].strip(" ") == short for m in (":", " -", " --", " —", " /"))
+    rules = [("cropped_subtitle", cropped), ("punctuation_or_case", p == q)]
+    for label, holds in rules if subtitle_first else rules[::-1]:
+        if holds:
+            return label
+    s, l = (p, q) if len(p) < len(q) else (q, p)
+    if len(l) == len(s) + 1 and any(l[:i] + l[i + 1 :] == s for i in range(len(l))):
+        return "spelling_indel"
+    u, v = set(p.split(" ")), set(q.split(" "))
+    return "discordant" if p and q and len(u & v) / len(u | v) < 0.25 else "typographical_variant"
+
+
+def marked(*texts):
+    return any(unicodedata.category(c)[0] == "M" for x in texts for c in x or "")
+
+
+def test_titles_of_all_alphabets_get_labels(spark):
+    t = Tables(spark, SMALL)
+    pairs = {r.row_id: (r.title, r.ititle, r.research_output_type) for r in linkage.deliveries(t).collect()}
+    got = {r.row_id: r.label for r in QUERIES["delivery_title_labels"](spark, SMALL).collect()}
+    assert set(got) == {r.row_id for r in t.works.collect()}
+    wrong = {k: (a, b, got[k]) for k, (a, b, _) in pairs.items() if not marked(a, b) and got[k] != brute_label(a, b, True)}
+    assert not wrong and any(not (a or "").isascii() for a, _, _ in pairs.values())
+    typed = {}
+    for k, (_, _, kind) in pairs.items():
+        typed[kind, got[k]] = typed.get((kind, got[k]), 0) + 1
+    assert {(r.kind, r.label): r.n for r in QUERIES["labels_by_type"](spark, SMALL).collect()} == {k: n for k, n in typed.items() if n >= 10}
+    counts = {}
+    for r in linkage.title_pairs(t).collect():
+        label = brute_label(r.title, r.ititle, False)
+        counts[label] = counts.get(label, 0) + 1
+    assert {r.label: r.n for r in QUERIES["index_title_labels"](spark, SMALL).collect()} == counts
