@@ -41,10 +41,22 @@ def flatten_authors(t):
 
 
 @query(f"SELECT CAST(row_id AS VARCHAR) AS paper, title FROM {W} WHERE regexp_full_match(title, '[A-Za-z ]+') AND NOT regexp_matches(title, '  |^ | $')")
+def parse_tei_headers_plain(t):
+    return tei_headers(t.works.filter(F.col("title").rlike("^[A-Za-z ]+$") & ~F.col("title").rlike("  |^ | $")))
+
+
+@query()
 def parse_tei_headers(t):
-    plain = t.works.filter(F.col("title").rlike("^[A-Za-z ]+$") & ~F.col("title").rlike("  |^ | $"))
-    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><title>'), "title", F.lit("</title></teiHeader></TEI>"))
-    papers, _, _ = readers.read_tei(plain.select(F.concat(F.lit("f/"), F.col("row_id").cast("string"), F.lit(".tei.xml")).alias("path"), F.to_binary(xml, F.lit("utf-8")).alias("content")))
+    """All titles, read again from XML: white space is one blank, none at the ends."""
+    return tei_headers(t.works.filter("title IS NOT NULL"))
+
+
+def tei_headers(rows):
+    title = F.regexp_replace("title", r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", " ")  # signs that XML can't hold
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        title = F.replace(title, F.lit(sign), F.lit(name))
+    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><title>'), title, F.lit("</title></teiHeader></TEI>"))
+    papers, _, _ = readers.read_tei(rows.select(F.concat(F.lit("f/"), F.col("row_id").cast("string"), F.lit(".tei.xml")).alias("path"), F.to_binary(xml, F.lit("utf-8")).alias("content")))
     return papers.select("paper", "title")
 
 

@@ -67,3 +67,11 @@ def test_titles_of_all_alphabets_get_labels(spark):
         label = brute_label(r.title, r.ititle, False)
         counts[label] = counts.get(label, 0) + 1
     assert {r.label: r.n for r in QUERIES["index_title_labels"](spark, SMALL).collect()} == counts
+
+
+def test_all_titles_pass_through_xml(spark):
+    rows = Tables(spark, SMALL).works.select("row_id", "title").filter("title IS NOT NULL").collect()
+    got = {r.paper: r.title for r in QUERIES["parse_tei_headers"](spark, SMALL).collect()}
+    assert got == {str(r.row_id): " ".join(r.title.split()) or None for r in rows}
+    odd = spark.createDataFrame([(1, " R&D: <b>x</b> &amp; 5 > 3 "), (2, "Ünï  \u0001 名前 Ω-3 𝒳"), (3, "]]> a\tb")], "row_id long, title string")
+    assert {r.paper: r.title for r in sources.tei_headers(odd).collect()} == {"1": "R&D: <b>x</b> &amp; 5 > 3", "2": "Ünï 名前 Ω-3 𝒳", "3": "]]> a b"}
