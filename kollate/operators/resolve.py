@@ -19,19 +19,36 @@ def star(members: DataFrame, key: str, node: str) -> DataFrame:
 def components(nodes: DataFrame, node: str, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node; the component is its smallest node.
 
-    Rounds of the smallest neighbouring label and a jump to the label's own label; each is written to the
-    shared folder. Ends when no label changes.
+    In a round every root hooks to its smallest neighbour and takes that one's root, however long the way; ties within a
+    tree are then dropped. A root that nothing hooked to has a neighbour with a smaller root and hooks in the next round, so
+    two rounds halve the roots that have ties at least. Tables of a round are written to the shared folder. Raises
+    when ties are left after ``rounds``.
     """
-    both = cut(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(edges.select(F.col("v").alias("a"), F.col("u").alias("b"))), "both")
     labels = cut(nodes.select(F.col(node).alias("n")).distinct().withColumn("label", F.col("n")), "labels")
+    known = labels.select("n")
+    both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).filter("a <> b")
+    for side in ("a", "b"):
+        both = both.join(known, F.col(side) == F.col("n"), "left_semi")
+    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("n") == F.col("a"), "left").select("n", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = step.alias("s").join(step.select(F.col("n").alias("m"), F.col("new").alias("far")), F.col("s.new") == F.col("m"), "left")
-        after = cut(jump.select("n", "label", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
-        labels = after.select("n", F.col("new").alias("label"))
-        if after.filter("label <> new").isEmpty():
+        if both.isEmpty():
             break
+        parents = cut(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("m"), F.least("a", "near").alias("p")), "parents")
+        for _ in range(rounds):  # the way to the root halves each time
+            upper = parents.select(F.col("m").alias("q"), F.col("p").alias("far"))
+            after = cut(parents.join(upper, F.col("p") == F.col("q")).select("m", F.col("p").alias("old"), F.col("far").alias("p")), "parents")
+            parents = after.select("m", "p")
+            if after.filter("old <> p").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"roots were not reached in {rounds} jumps")
+        labels = cut(labels.join(parents, F.col("label") == F.col("m"), "left").select("n", F.coalesce("p", "label").alias("label")), "labels")
+        for side in ("a", "b"):
+            both = both.join(parents, F.col(side) == F.col("m")).drop(side, "m").withColumnRenamed("p", side)
+        both = cut(both.filter("a <> b").distinct(), "both")
+    else:
+        if not both.isEmpty():
+            raise RuntimeError(f"labels did not settle in {rounds} rounds")
     return labels.select(F.col("n").alias(node), F.col("label").alias("component"))
 
 

@@ -1,5 +1,6 @@
 """Queries that must take in every row, against brute force."""
 
+import random
 import re
 import unicodedata
 
@@ -75,3 +76,16 @@ def test_all_titles_pass_through_xml(spark):
     assert got == {str(r.row_id): " ".join(r.title.split()) or None for r in rows}
     odd = spark.createDataFrame([(1, " R&D: <b>x</b> &amp; 5 > 3 "), (2, "Ünï  \u0001 名前 Ω-3 𝒳"), (3, "]]> a\tb")], "row_id long, title string")
     assert {r.paper: r.title for r in sources.tei_headers(odd).collect()} == {"1": "R&D: <b>x</b> &amp; 5 > 3", "2": "Ünï 名前 Ω-3 𝒳", "3": "]]> a b"}
+
+
+def test_components_of_long_chains(spark):
+    from kollate.operators import resolve
+
+    ids = list(range(1500))
+    random.Random(4).shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(i, i + 1) for i in range(2000, 2999)]
+    nodes, ties = spark.createDataFrame([(i,) for i in [*ids, *range(2000, 3001)]], "id long"), spark.createDataFrame(edges, "u long, v long")
+    got = dict(map(tuple, resolve.components(nodes, "id", ties).collect()))
+    assert got == {i: 0 for i in ids} | {i: 2000 for i in range(2000, 3000)} | {3000: 3000}
+    with pytest.raises(RuntimeError):
+        resolve.components(nodes, "id", ties, rounds=1)
