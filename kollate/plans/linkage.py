@@ -261,14 +261,29 @@ def fuzzy_titles_close(t):
 
 @query(f"""{_TROVE}, o AS (SELECT l.canonical_id, CASE WHEN x.match_tier IS NOT NULL THEN x.match_tier WHEN EXISTS (SELECT 1 FROM c WHERE substr(ck, 1, 15) = substr(tk, 1, 15) AND length(tk) >= 15 AND length(ck) >= 15 AND (starts_with(ck, tk) OR starts_with(tk, ck))) THEN 'prefix' ELSE 'none' END AS tier FROM l LEFT JOIN x USING (canonical_id))
 SELECT tier, count(*) AS n FROM o GROUP BY 1""")
+def overlap_partition_strict(t):
+    """The partition without the fuzzy tier, which the SQL checks."""
+    return partition(t, fuzzy=False)
+
+
+@query()
 def overlap_partition(t):
     """Works by the first tier that finds them in the catalogue; each tier sees only what is left."""
-    w = works(t).select("canonical_id", text.title_words("title").alias("tk"))
+    return partition(t, fuzzy=True)
+
+
+def partition(t, fuzzy):
+    w = works(t).select("canonical_id", text.title_words("title").alias("tk"), text.title_key("title").alias("k"))
     found = catalogue_links(t).select("canonical_id", F.col("match_tier").alias("tier"))
     rest = w.join(found, "canonical_id", "left_anti")
     c = t.trove.groupBy("trove_work_id").agg(F.min(text.title_words("trove_title")).alias("ck")).select("ck").distinct()
     by_prefix = link.prefix_pairs(rest, c, "tk", "ck").select("canonical_id", F.lit("prefix").alias("tier")).distinct()
-    all_ = w.select("canonical_id").join(found.unionByName(by_prefix), "canonical_id", "left")
+    found = found.unionByName(by_prefix)
+    if fuzzy:
+        rest = rest.join(by_prefix, "canonical_id", "left_anti").select("canonical_id", "k").filter("length(k) > 15")
+        j = t.trove.select(text.title_key("trove_title").alias("j")).filter("length(j) > 15").distinct()
+        found = found.unionByName(link.fuzzy_pairs(rest, j, "k", "j", 0.9).select("canonical_id", F.lit("fuzzy").alias("tier")).distinct())
+    all_ = w.select("canonical_id").join(found, "canonical_id", "left")
     return all_.groupBy(F.coalesce("tier", F.lit("none")).alias("tier")).agg(F.count("*").alias("n"))
 
 

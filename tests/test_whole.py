@@ -89,3 +89,27 @@ def test_components_of_long_chains(spark):
     assert got == {i: 0 for i in ids} | {i: 2000 for i in range(2000, 3000)} | {3000: 3000}
     with pytest.raises(RuntimeError):
         resolve.components(nodes, "id", ties, rounds=1)
+
+
+def test_overlap_has_a_fuzzy_tier(spark):
+    t = Tables(spark, SMALL)
+    plain = lambda x, to: " ".join(re.sub(r"[^a-z0-9\s]", to, (x or "").lower()).split())
+    key = lambda x: re.sub("[^a-z0-9]", "", (x or "").lower())
+    by_work = {}
+    for r in t.trove.select("trove_work_id", "trove_title").collect():
+        if r.trove_title is not None:
+            by_work.setdefault(r.trove_work_id, set()).add(r.trove_title)
+    firsts = {min(plain(x, " ") for x in v) for v in by_work.values()}
+    whole = {key(x) for v in by_work.values() for x in v}
+    found = {r.canonical_id: r.match_tier for r in linkage.catalogue_links(t).collect()}
+    expected = {}
+    for r in linkage.works(t).collect():
+        a, k = plain(r.title, " "), key(r.title)
+        tier = found.get(r.canonical_id)
+        if tier is None and len(a) >= 15 and any(len(b) >= 15 and (a.startswith(b) or b.startswith(a)) for b in firsts):
+            tier = "prefix"
+        if tier is None and len(k) > 15 and any(len(j) > 15 and k[:10] == j[:10] and _jaro_winkler(k, j) >= 0.9 for j in whole):
+            tier = "fuzzy"
+        expected[tier or "none"] = expected.get(tier or "none", 0) + 1
+    got = {r.tier: r.n for r in QUERIES["overlap_partition"](spark, SMALL).collect()}
+    assert got == expected and got["fuzzy"] > 0
