@@ -8,7 +8,8 @@ the word before it, while longer words that begin with it do.
 Punctuation stays on its word, so "the District:" and "the District" are different ends, and digits
 count as one sign. Dots, a replacement sign or half an entity left by the transfer are taken as a cut. A source's own
 limit shows as a length that far more of its values have than neighbouring lengths; a value of that
-length needs less evidence.
+length needs less evidence. A value of one word has no final pair and is judged by a mark alone: one that was cut
+without leaving a mark isn't found.
 """
 
 from __future__ import annotations
