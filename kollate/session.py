@@ -69,16 +69,35 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(f"{folder}/kollate/package-{context.applicationId}", "zip", os.path.dirname(home), os.path.basename(home)))
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", *done: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage so that lost executors cost nothing but the running stage, and gives the planner
-    the real size of the intermediate table.
+    the real size of the intermediate table. ``done`` are earlier results of this function that nothing reads any more once
+    ``df`` is written; their files are removed. What is left goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kollate/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where = _path(spark, path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    release(*done)
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``cut`` wrote. Only for those that no query reads any more."""
+    for df in tables:
+        path = getattr(df, "_cut", None)
+        if path:
+            where = _path(df.sparkSession, path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
