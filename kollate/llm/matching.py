@@ -1,15 +1,16 @@
 """Matching entities across sources without keys (problem 3).
 
-Candidates come from MinHash blocks over character shingles of several attributes: the whole title and its
-main part (for catalogue titles without the subtitle); long titles also meet by an equal opening, and a work's
-title that may have been cut meets the catalogue's titles by bands of the longest of several openings that it fills. A band
-agrees with a probability of similarity to the power of ``ROWS``. Equal titles are one record in
-the blocks, however many rows share them. Each candidate pair gets similarity features; a logistic
-classifier, trained on a bounded sample of pairs with weak labels, turns them into probabilities, which
-are calibrated by isotonic regression on the part of the sample kept back.
-
-Weak labels come from the rules stated below and are only as good as these; the sample is bounded by
-``SAMPLE`` pairs of either label, chosen by hash. Everything else covers all rows.
+Candidates come from MinHash blocks over character shingles of several attributes: the whole title, its main part (for
+catalogue titles without the subtitle) and, for a work's title that may have been cut, the longest of several openings that
+it fills; a shared ISBN is a block as well. A band agrees with a probability of similarity to the power of its rows. Equal
+titles are one record in the blocks, however many rows share them. Title pairs turn into pairs of works whose years don't
+forbid it: the years are part of the join.
+
+Each candidate pair gets similarity features; a logistic classifier turns them into probabilities, calibrated by isotonic
+regression on pairs kept back from the fit. The weak labels come from evidence that is no feature: of the pairs in which both
+sides carry an ISBN, those that share one are taken for the same work and the others for other works. The fit is a maximum a
+posteriori one around ``PRIOR``, so that few labels, or none, give the same steps with less to learn from. It uses at most
+``SAMPLE`` pairs of either label, chosen by hash; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -19,20 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kollate.llm import mojibake
+from kollate.operators.skew import spread_join
 from kollate.session import cut
 
-SHINGLE, ROWS, BANDS_WHOLE, BANDS_MAIN = 4, 7, 16, 5
-#: Signs of a long title's opening, by which a title that was cut meets the whole one.
-OPENING = 64
-#: Letters and digits of the openings by whose bands a cut title of any length meets the whole one; shorter titles don't meet so.
-OPENINGS, BANDS_OPENING = (12, 16, 24, 32, 48, 64, 96), 5
+#: Signs of a shingle.
+SHINGLE = 3
+#: (bands, rows of a band) of the whole title, of its main part and of each opening. An opening only has to be found again.
+WHOLE, MAIN, OPENING = (16, 8), (10, 7), (2, 6)
+#: Letters and digits of the openings by whose bands a cut title meets the whole one; shorter titles meet by the whole alone.
+OPENINGS = (12, 16, 24, 32, 48, 64, 96)
 #: Bits of a block key.
 KEY_BITS = 40
-#: Pairs of either weak label used to fit; a third of them only to calibrate.
+#: Pairs of either weak label used; a third of them only to calibrate.
 SAMPLE = 10_000
 #: Works of one title issued further apart are different works.
 YEARS_APART = 3
@@ -99,8 +101,8 @@ def isbn_core(column: Column) -> Column:
     return F.when(F.length(digits) == 13, F.substring(digits, 4, 9)).when(F.length(digits) == 10, F.substring(digits, 1, 9))
 
 
-def band_keys(texts: list[str], bands: int, seed: int) -> np.ndarray:
-    """Band keys, one row per text: of each band, ``ROWS`` smallest hashes, each under a permutation of its own.
+def band_keys(texts: list[str], bands: int, rows: int, seed: int) -> np.ndarray:
+    """Band keys, one row per text: of each band, ``rows`` smallest hashes, each under a permutation of its own.
 
     All texts of a batch are hashed at once; the smallest of each text are found by segments.
     """
@@ -121,7 +123,7 @@ def band_keys(texts: list[str], bands: int, seed: int) -> np.ndarray:
     keys, hashed = np.empty((len(texts), bands), np.int64), np.empty_like(base)
     for band in range(bands):
         key = np.full(len(texts), band, np.uint64)
-        for _ in range(ROWS):
+        for _ in range(rows):
             mult, add = rng.integers(0, 2**32, 2, dtype=np.uint32)
             np.multiply(base, mult | np.uint32(1), out=hashed)
             np.add(hashed, add, out=hashed)
@@ -131,32 +133,30 @@ def band_keys(texts: list[str], bands: int, seed: int) -> np.ndarray:
 
 
 def _sign(side: str):
-    """Signs a batch of titles: the whole of each, its opening if it is long, and the part that may stand alone.
+    """Signs a batch of titles: the whole of each, the part that may stand alone, and openings.
 
-    Of works that is the main part of a title with a subtitle, of the catalogue a title without one, so that titles
+    Of works the part is the main one of a title with a subtitle, of the catalogue a title without one, so that titles
     which only share their main part don't meet. A work's title may be cut, so it is signed by the longest opening
     it fills, and one of the catalogue by all it exceeds.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            t, whole, main = batch["t"].to_numpy(), batch["whole"].tolist(), batch["main"].tolist()
+            t, whole = batch["t"].to_numpy(), batch["whole"].tolist()
+            main, head = [a[:n] for a, n in zip(whole, batch["main"])], [a[:n] for a, n in zip(whole, batch["head"])]
             parted = np.array([len(a) > len(b) + 3 for a, b in zip(whole, main)])
             alone = parted if side == "works" else ~parted
-            long_ = np.array([len(a) >= OPENING + 8 for a in whole])
-            for mask, texts, bands, seed in ((np.ones(len(t), bool), whole, BANDS_WHOLE, 1), (alone, main if side == "works" else whole, BANDS_MAIN, 2)):
-                if mask.any():
-                    keys = band_keys([x for x, m in zip(texts, mask) if m], bands, seed)
-                    yield pd.DataFrame({"t": np.repeat(t[mask], bands), "key": keys.ravel() * 4 + seed})
             tight = [a.replace(" ", "") for a in whole]
             fills = np.searchsorted(OPENINGS, [len(a) for a in tight], side="right")
+            signed = [(np.ones(len(t), bool), whole, 1, WHOLE), (alone, main if side == "works" else whole, 2, MAIN)]
+            if side == "works":  # what stands before a sure break, where an earlier break may be none
+                signed.append((np.array([len(b) + 3 < len(h) < len(a) - 3 for a, b, h in zip(whole, main, head)]), head, 2, MAIN))
             for i, n in enumerate(OPENINGS):
-                mask = fills == i + 1 if side == "works" else fills > i
+                signed.append((fills == i + 1 if side == "works" else fills > i, [a[:n] for a in tight], 3 + i, OPENING))
+            for mask, texts, kind, (bands, rows) in signed:
                 if mask.any():
-                    keys = band_keys([a[:n] for a, m in zip(tight, mask) if m], BANDS_OPENING, 4 + i)
-                    yield pd.DataFrame({"t": np.repeat(t[mask], BANDS_OPENING), "key": keys.ravel() * 4})
-            opening = [xxhash.xxh3_64_intdigest(a[:OPENING]) >> (64 - KEY_BITS) for a, m in zip(whole, long_) if m]
-            yield pd.DataFrame({"t": t[long_], "key": np.array(opening, np.int64) * 4 + 3})
+                    keys = band_keys([x for x, m in zip(texts, mask) if m], bands, rows, kind)
+                    yield pd.DataFrame({"t": np.repeat(t[mask], bands), "key": keys.ravel()})
 
     return run
 
@@ -166,24 +166,37 @@ def _once(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def _bare(plain: str) -> Column:
+    """A plain title without its article."""
+    return F.when(F.substring_index(plain, " ", 1).isin("the", "a", "an"), F.regexp_replace(plain, r"^(the|a|an) ", "")).otherwise(F.col(plain))
+
+
 def _titles(records: DataFrame, name: str) -> DataFrame:
-    """(t, p, whole, main, head, odd) of every different plain title; ``p`` is its hash, ``odd`` marks signs of another work."""
+    """(t, p, whole, main, head, odd) of every different plain title; ``p`` is its hash, ``main`` and ``head`` are how much of
+    the whole stands before a break and before a sure one, ``odd`` marks signs of another work."""
     distinct = records.select("plain").distinct().withColumn("t", F.monotonically_increasing_id())
-    start = F.substring_index("plain", " ", 1)
-    bare = F.when(start.isin("the", "a", "an"), F.regexp_replace("plain", r"^(the|a|an) ", "")).otherwise(F.col("plain"))
+    start, bare = F.substring_index("plain", " ", 1), _bare("plain")
     may = F.regexp_replace(start, "[^a-z]", "").isin(*OTHER_STARTS) | F.right("plain", F.lit(3)).rlike("[0-9ivx]")
     first = _once(distinct, ["t", "plain"], bare=bare, odd=F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise(""))
     first = _once(first, ["t", "plain", "odd", "bare"], whole=squeezed(F.col("bare")), m=main_part(F.col("bare")), h=main_part(F.col("bare"), SURE_BREAKS))
-    part = lambda c: F.when(F.length(c) == F.length("bare"), F.col("whole")).otherwise(squeezed(F.col(c)))
+    part = lambda c: F.length(F.when(F.length(c) == F.length("bare"), F.col("whole")).otherwise(squeezed(F.col(c))))
     first = first.select("t", F.xxhash64("plain").alias("p"), "whole", part("m").alias("main"), part("h").alias("head"), "odd")
     return cut(first.filter("whole <> ''"), name)  # written once: the numbers must not change
 
 
 def candidate_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r): different titles of the two sides that share a block."""
-    a = left.select("t", "whole", "main").mapInPandas(_sign("works"), "t long, key long").withColumnRenamed("t", "l")
-    b = right.select("t", "whole", "main").mapInPandas(_sign("catalogue"), "t long, key long").withColumnRenamed("t", "r")
-    return a.join(b, "key").select("l", "r").distinct()
+    """(l, r), with repeats: different titles of the two sides that share a block. Equal titles are one; partitions of many are split by AQE."""
+    a = left.select("t", "whole", "main", "head").mapInPandas(_sign("works"), "t long, key long").withColumnRenamed("t", "l")
+    b = right.select("t", "whole", "main", "head").mapInPandas(_sign("catalogue"), "t long, key long").withColumnRenamed("t", "r")
+    return a.join(b, "key").select("l", "r")
+
+
+def isbn_titles(w: DataFrame, c: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): titles of works and catalogue rows that share an ISBN."""
+    a = w.filter("core is not null").select("core", "p").distinct()
+    b = c.filter("size(isbns) > 0").select("p", F.explode("isbns").alias("isbn")).select("p", isbn_core(F.col("isbn")).alias("core")).dropna().distinct()
+    met = spread_join(a.withColumnRenamed("p", "pl"), b.withColumnRenamed("p", "pr"), ["core"]).select("pl", "pr").distinct()
+    return met.join(left.select(F.col("t").alias("l"), F.col("p").alias("pl")), "pl").join(right.select(F.col("t").alias("r"), F.col("p").alias("pr")), "pr").select("l", "r")
 
 
 def _tokens(titles: DataFrame) -> DataFrame:
@@ -199,152 +212,186 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
 
     The catalogue may give the title without its subtitle (``dropped``), and the work's title may be cut off
     (``cut_off``); then the part that both have is compared, and ``rest`` is what the cut took. A catalogue title that adds a
-    subtitle is ``longer``, unless the work's title ends inside a word of it.
-    ``swapped`` counts words of the vocabulary that stand in for each other.
+    subtitle is ``longer``, unless the work's title ends inside a word of it. Pairs with another volume's, review's or companion's
+    marks on one side, and pairs with words of the vocabulary in place of each other (another place, another subject), are
+    other works by definition, even under one ISBN, and are left out.
     """
-    l = left.select(F.col("t").alias("l"), *(F.col(c).alias(f"{c}_l") for c in ("whole", "main", "head", "odd")))
-    r = right.select(F.col("t").alias("r"), *(F.col(c).alias(f"{c}_r") for c in ("whole", "main", "head", "odd")))
+    l = left.select(F.col("t").alias("l"), *(F.col(c).alias(f"{c}_l") for c in ("p", "whole", "main", "head", "odd")))
+    r = right.select(F.col("t").alias("r"), *(F.col(c).alias(f"{c}_r") for c in ("p", "whole", "main", "head", "odd")))
+    ids = ["l", "r", "p_l", "p_r"]
     size = lambda c: F.length(F.col(c))
-    near = lambda a, b: F.abs(size(a) - size(b)) <= 3
-    both = pairs.join(l, "l").join(r, "r")
-    part_l = F.when(near("whole_l", "whole_r"), F.col("whole_l")).when(near("head_l", "whole_r"), F.col("head_l")).when(near("main_l", "whole_r"), F.col("main_l")).otherwise(F.col("whole_l"))
-    inside = F.startswith(F.col("whole_r"), F.col("whole_l")) & (F.substring(F.col("whole_r"), size("whole_l") + 1, F.lit(1)) != " ")
-    longer = ~near("whole_l", "whole_r") & (size("whole_r") > size("whole_l")) & (near("head_r", "whole_l") | near("main_r", "whole_l")) & ~inside
-    both = _once(both, ["l", "r", "whole_l", "whole_r"], part_l=part_l, longer=longer, other=(F.col("odd_l") != F.col("odd_r")))
+    near = lambda a, b: F.abs(a - b) <= 3
+    both = pairs.join(l, "l").join(r, "r").filter("odd_l = odd_r")
+    nl, nr = size("whole_l"), size("whole_r")
+    length_l = F.when(near(nl, nr), nl).when(near(F.col("head_l"), nr), F.col("head_l")).when(near(F.col("main_l"), nr), F.col("main_l")).otherwise(nl)
+    inside = F.startswith(F.col("whole_r"), F.col("whole_l")) & (F.substring(F.col("whole_r"), nl + 1, F.lit(1)) != " ")
+    longer = ~near(nl, nr) & (nr > nl) & (near(F.col("head_r"), nl) | near(F.col("main_r"), nl)) & ~inside
+    part_l = F.left("whole_l", length_l)
+    both = _once(both, [*ids, "whole_l", "whole_r"], part_l=part_l, longer=longer)
     cut_off = ~F.col("longer") & (size("whole_r") > size("whole_l") + 3)
     # A cut leaves the last word in doubt.
     part_r = F.when(cut_off | F.col("longer"), F.substring(F.col("whole_r"), F.lit(1), size("whole_l"))).otherwise(F.col("whole_r"))
     rest = F.when(cut_off, F.substring(F.col("whole_r"), size("whole_l") + 1, F.lit(REST)))
-    both = _once(both, ["l", "r", "part_l", "longer", "other"], part_r=part_r, cut_off=cut_off, rest=rest, dropped=size("part_l") < size("whole_l"))
+    stem = F.when(cut_off, F.col("whole_l"))
+    both = _once(both, [*ids, "part_l", "longer"], part_r=part_r, cut_off=cut_off, rest=rest, stem=stem, dropped=size("part_l") < size("whole_l"))
     tight = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    flags = ["dropped", "longer", "cut_off", "other"]
-    both = _once(both, ["l", "r", "part_l", "part_r", "rest", *flags], a=tight("part_l"), b=tight("part_r"))
+    flags = ["dropped", "longer", "cut_off"]
+    both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", *flags], a=tight("part_l"), b=tight("part_r"))
     han = F.col("a").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     limit = F.when(han, 2).otherwise(F.greatest(F.lit(EDITS_LEAST), F.ceil(EDITS * F.greatest(size("a"), size("b")))))
-    both = _once(both, ["l", "r", "part_l", "part_r", "rest", "a", "b", *flags], edits=limit.cast("int"), han=han)
+    both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", "a", "b", *flags], edits=limit.cast("int"), han=han)
     both = both.filter(F.abs(size("a") - size("b")) <= F.col("edits"))
-    both = _once(both, ["l", "r", "part_l", "part_r", "rest", "a", "b", "han", *flags], d=F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("levenshtein(a, b, edits)")))
+    both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", "a", "b", "han", *flags], d=F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("levenshtein(a, b, edits)")))
     # Where words aren't divided, two signs in the place of two others are a word.
     both = both.filter((F.col("d") >= 0) & ~(F.col("han") & (F.col("d") == 2) & (size("a") == size("b"))))
     words = lambda c: F.split(F.col(c), " ")
-    both = both.select("l", "r", "d", "rest", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
+    both = both.select(*ids, "d", "rest", "stem", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
                        F.array_except(words("part_l"), words("part_r")).alias("lone_l"), F.array_except(words("part_r"), words("part_l")).alias("lone_r"))
-    both = cut(both, "pairs")
+    both = cut(both, "pairs", pairs)
     lone = both.filter("d > 1 AND size(lone_l) > 0 AND size(lone_r) > 0").select("l", "r", F.inline(F.concat(
         F.transform("lone_l", lambda w: F.struct(F.lit(1).alias("left"), w.alias("token"))),
         F.transform("lone_r", lambda w: F.struct(F.lit(0).alias("left"), w.alias("token"))))))
     real = lone.filter(F.length("token") >= WORD).join(known, "token", "left_semi").groupBy("l", "r").agg(F.sum("left").alias("real_l"), F.sum(1 - F.col("left")).alias("real_r"))
     both = both.join(real, ["l", "r"], "left").fillna(0, ["real_l", "real_r"])
-    return both.select("l", "r", "d", "rest", "apart", "dropped", "cut_off", "longer", "other", F.least("real_l", "real_r", F.lit(3)).cast("double").alias("swapped"))
+    swapped = (F.col("real_l") > 0) & (F.col("real_r") > 0)
+    return both.filter(~swapped).select(F.col("p_l").alias("pl"), F.col("p_r").alias("pr"), "d", "rest", "stem", "apart", "dropped", "cut_off", "longer")
 
 
-FEATURES = ["apart", "dropped", "cut_off", "longer", "other", "swapped", "far", "same_isbn", "other_isbn"]
+#: What the classifier weighs. ISBNs are the evidence its labels come from and no feature.
+FEATURES = ["apart", "dropped", "cut_off", "longer", "several", "gap", "undated"]
+#: Where the fit starts from and is drawn to: an intercept and a weight for each feature, in logits.
+PRIOR = (3.0, -30.0, 0.0, 0.0, -6.0, -5.0, -0.3, 0.0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.5) -> np.ndarray:
-    """Weights of a logistic regression with an intercept in front, by Newton's method; both labels weigh the same."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.5, prior: tuple[float, ...] | None = None) -> np.ndarray:
+    """Weights of a logistic regression with an intercept in front, by Newton's method; ``ridge`` draws them to ``prior``, or to 0."""
     x = np.column_stack([np.ones(len(x)), x])
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w = np.zeros(x.shape[1])
+    start = np.zeros(x.shape[1]) if prior is None else np.asarray(prior, float)
+    w = start.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (balance * (p - y)) + ridge * np.r_[0, w[1:]]
-        hess = (x * (balance * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)) + 1e-9 * np.eye(len(w))
+        grad = x.T @ (p - y) + ridge * (w - start)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
-        w -= step
+        w -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points (mean score, probability) of the rising function closest to the labels, by pooling neighbours."""
     order = np.argsort(score, kind="stable")
     blocks: list[list[float]] = []
-    for s, v in zip(score[order], y[order]):
-        blocks.append([s, float(v), 1.0])
+    for s, v, n in zip(score[order], y[order], weight[order]):
+        blocks.append([s * n, float(v) * n, n])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             top = blocks.pop()
-            blocks[-1] = [x + y for x, y in zip(blocks[-1], top)]
-    return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], top)]
+    return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
 def _year(column: str) -> Column:
     return F.expr(f"try_cast(regexp_extract({column}, '(1[5-9]|20)[0-9][0-9]', 0) AS INT)")
 
 
-def _uncut_first(pairs: DataFrame, w: DataFrame, left: DataFrame) -> DataFrame:
+def calibrator(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points (score, probability) of the isotonic fit to the pairs kept back, with one pseudo-pair for each whole logit from -8 to 8,
+    so that a calibration exists whatever was kept back."""
+    grid = np.arange(-8.0, 9.0)
+    share = 1 / (1 + np.exp(-grid))
+    scores = np.concatenate([score, grid, grid])
+    labels, weights = np.concatenate([y, np.ones(17), np.zeros(17)]), np.concatenate([np.ones(len(y)), share, 1 - share])
+    return isotonic(scores, labels, weights)
+
+
+def _uncut_first(pairs: DataFrame, w: DataFrame) -> DataFrame:
     """Pairs of works and catalogue titles without those by a cut title where another title of the work shows how it goes on."""
-    sizes = left.select(F.col("p").alias("pl"), "whole")
-    cuts = pairs.filter("cut_off = 1").select("canonical_id", "pl").distinct().join(sizes, "pl")
-    others = w.select("canonical_id", F.col("p").alias("pl")).distinct().join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").join(sizes, "pl").select("canonical_id", F.col("whole").alias("o"))
-    n = F.length("whole")
-    known = cuts.join(others, "canonical_id").filter((F.length("o") > n + 3) & (F.left("o", F.ceil(n / 2).cast("int")) == F.left("whole", F.ceil(n / 2).cast("int"))))
+    cuts = pairs.filter("cut_off = 1").select("canonical_id", "pl", "stem").distinct()
+    others = w.filter("plain is not null").join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", squeezed(_bare("plain")).alias("o")).distinct()
+    n = F.length("stem")
+    known = cuts.join(others, "canonical_id").filter((F.length("o") > n + 3) & (F.left("o", F.ceil(n / 2).cast("int")) == F.left("stem", F.ceil(n / 2).cast("int"))))
     known = known.select("canonical_id", "pl", F.lit(1.0).alias("cut_off")).distinct()
-    return pairs.join(known, ["canonical_id", "pl", "cut_off"], "left_anti")
+    return pairs.join(known, ["canonical_id", "pl", "cut_off"], "left_anti").drop("stem")
 
 
-def _vague(best: DataFrame) -> DataFrame:
-    """Marks pairs by a cut title that goes on in different ways in the titles it may be paired with: without a shared ISBN
-    nothing says which. Rests are told apart by the first and the last of them."""
-    rests = best.filter("cut_off = 1 AND far = 0 AND other = 0 AND longer = 0").groupBy("canonical_id").agg(F.min("rest").alias("a"), F.max("rest").alias("b"))
+def _several(best: DataFrame) -> DataFrame:
+    """Marks pairs by a cut title that goes on in different ways in the titles it may be paired with: nothing in the title says
+    which. Rests are told apart by the first and the last of them."""
+    rests = best.filter("cut_off = 1 AND longer = 0").groupBy("canonical_id").agg(F.min("rest").alias("a"), F.max("rest").alias("b"))
     n = F.least(F.length("a"), F.length("b"))
-    several = rests.filter(F.levenshtein(F.left("a", n), F.left("b", n)) > EDITS_LEAST).select("canonical_id", F.lit(True).alias("several"))
-    vague = (F.col("cut_off") == 1) & (F.col("same_isbn") == 0) & F.coalesce("several", F.lit(False))
-    return best.join(several, "canonical_id", "left").withColumn("vague", vague).drop("several", "rest")
+    several = rests.filter(F.levenshtein(F.left("a", n), F.left("b", n)) > EDITS_LEAST).select("canonical_id", F.lit(1.0).alias("s"))
+    return best.join(several, "canonical_id", "left").withColumn("several", F.col("cut_off") * F.coalesce("s", F.lit(0.0))).drop("s", "rest")
 
 
-def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(canonical_id, trove_work_id, confidence) of the pairs that are the same work.
+def _buckets(years: str, work: bool) -> Column:
+    """Keys under which years of a work and a catalogue work meet if any two of them are ``YEARS_APART`` apart at most.
 
-    Rows without a title can't be matched by it and give nothing; titles of any length and any number of
-    rows of one work or one title count; empty tables give an empty result.
+    A year of a work is entered under every bucket it reaches. Under -1 the undated of the catalogue meet dated
+    works, under -2 the undated works meet all of the catalogue."""
+    if not work:
+        own = F.transform(years, lambda y: F.floor(y / (YEARS_APART + 1)).cast("int"))
+        return F.array_distinct(F.array_append(F.when(F.size(years) == 0, F.array(F.lit(-1))).otherwise(own), -2))
+    near = F.flatten(F.transform(years, lambda y: F.transform(F.sequence(F.floor((y - YEARS_APART) / (YEARS_APART + 1)), F.floor((y + YEARS_APART) / (YEARS_APART + 1))), lambda b: b.cast("int"))))
+    return F.when(F.size(years) == 0, F.array(F.lit(-2))).otherwise(F.array_distinct(F.array_append(near, -1)))
+
+
+def paired_works(features: DataFrame, w: DataFrame, c: DataFrame) -> DataFrame:
+    """(canonical_id, trove_work_id, features): the best pair of titles for each pair of works whose years are ``YEARS_APART`` apart at most.
+
+    Works under one common title meet by title and year, so neither all works of a title nor all years of it come together.
+    """
+    # Each title's works once, however many rows say so, and only of titles that are paired.
+    titled = w.join(features.select(F.col("pl").alias("p")).distinct(), "p", "left_semi")
+    wt = titled.select("canonical_id", F.col("p").alias("pl")).distinct()
+    # Sets of years have 600 members at most.
+    years = w.join(titled.select("canonical_id").distinct(), "canonical_id", "left_semi").groupBy("canonical_id").agg(F.collect_set("year").alias("years"), F.bool_or(F.col("core").isNotNull()).alias("has_w"))
+    wt = cut(wt.join(years, "canonical_id"), "titled")
+    issued = c.groupBy("trove_work_id").agg(F.collect_set("year").alias("issued"), F.bool_or(F.size("isbns") > 0).alias("has_c"))
+    ct = c.join(features.select(F.col("pr").alias("p")).distinct(), "p", "left_semi").select("trove_work_id", F.col("p").alias("pr")).distinct().join(issued, "trove_work_id")
+    met = cut(_uncut_first(spread_join(wt, features, ["pl"]), w), "works-by-title", wt)
+    met = met.withColumn("bucket", F.explode(_buckets("years", True)))
+    ct = ct.withColumn("bucket", F.explode(_buckets("issued", False)))
+    both = spread_join(met, ct, ["pr", "bucket"])
+    gap = F.array_min(F.transform("years", lambda a: F.array_min(F.transform("issued", lambda b: F.abs(a - b)))))
+    both = both.withColumn("gap", gap).filter(F.coalesce(F.col("gap") <= YEARS_APART, F.lit(True)))
+    best = F.min_by(F.struct("d", "rest", *FEATURES[:4], "gap", (F.col("has_w") & F.col("has_c")).alias("both_isbn")), F.col("d") + 50 * F.col("longer"))
+    best = both.groupBy("canonical_id", "trove_work_id").agg(best.alias("f")).select("canonical_id", "trove_work_id", "f.*")
+    return best.withColumn("undated", F.col("gap").isNull().cast("double")).withColumn("gap", F.coalesce(F.col("gap").cast("double"), F.lit(0.0)))
+
+
+def scored_pairs(works: DataFrame, candidates: DataFrame) -> tuple[DataFrame, dict]:
+    """(canonical_id, trove_work_id, confidence) of all candidate pairs, and how the classifier did on the labelled pairs kept back.
+
+    The report holds the number of labelled and kept-back pairs, the Brier score, that of the plain base rate, and for
+    each tenth of confidence the mean confidence, the share of matches and the number of pairs.
     """
     w = mojibake.mend(works.filter("canonical_id is not null").select("canonical_id", "title", "reference_year", "isbn"), "title")
     w = cut(w.select("canonical_id", plain_title(F.col("title"), False).alias("plain"), F.when(F.col("reference_year").between(1500, 2100), F.col("reference_year")).alias("year"), isbn_core(F.col("isbn")).alias("core")).withColumn("p", F.xxhash64("plain")), "works")
     c = candidates.select("trove_work_id", plain_title(F.col("trove_title"), True).alias("plain"), _year("trove_issued").alias("year"), F.col("trove_isbns").alias("isbns")).filter("trove_work_id is not null").withColumn("p", F.xxhash64("plain"))
     c = cut(c, "candidates")
     left, right = _titles(w.filter("plain is not null"), "left"), _titles(c.filter("plain is not null"), "right")
-    pairs = cut(candidate_titles(left, right), "blocks")
-    features = title_features(pairs, left, right, _tokens(left))
-    # From titles to works.
-    pairs = features.join(left.select(F.col("t").alias("l"), F.col("p").alias("pl")), "l").join(right.select(F.col("t").alias("r"), F.col("p").alias("pr")), "r")
-    # Each title's works once, however many rows say so, and only of titles that are paired.
-    wt = w.select("canonical_id", F.col("p").alias("pl")).join(pairs.select("pl").distinct(), "pl", "left_semi").distinct()
-    ct = c.select("trove_work_id", F.col("p").alias("pr")).join(pairs.select("pr").distinct(), "pr", "left_semi").distinct()
-    best = _uncut_first(pairs.join(wt, "pl"), w, left).join(ct, "pr")
-    best = best.groupBy("canonical_id", "trove_work_id").agg(F.min_by(F.struct("d", "rest", *FEATURES[:6]), F.col("d") + 5 * F.col("swapped") + 50 * (F.col("other") + F.col("longer"))).alias("f"))
-    best = cut(best, "best")
-    best = best.select("canonical_id", "trove_work_id", "f.*")
-    # Sets of years have 600 members at most.
-    paired = w.join(best.select("canonical_id").distinct(), "canonical_id", "left_semi")
-    wy = paired.groupBy("canonical_id").agg(F.collect_set("year").alias("years"), F.bool_or(F.col("core").isNotNull()).alias("has_w"))
-    cy = c.groupBy("trove_work_id").agg(F.collect_set("year").alias("issued"), F.bool_or(F.size("isbns") > 0).alias("has_c"))
-    best = best.join(wy, "canonical_id", "left").join(cy, "trove_work_id", "left")
-    gap = F.array_min(F.transform("years", lambda a: F.array_min(F.transform("issued", lambda b: F.abs(a - b)))))
-    best = best.withColumn("gap", gap).drop("years", "issued")
-    wi = paired.filter("core is not null").select("canonical_id", "core").distinct()
+    c = c.drop("plain")
+    pairs = cut(candidate_titles(left, right).unionByName(isbn_titles(w, c, left, right)).distinct(), "blocks")
+    features = cut(title_features(pairs, left, right, _tokens(left)), "title-pairs")
+    best = cut(_several(cut(paired_works(features, w, c), "best")), "features")
+    # Which of the pairs whose sides both carry an ISBN share one.
+    wi = w.filter("core is not null").select("canonical_id", "core").distinct()
     ci = c.filter("size(isbns) > 0").select("trove_work_id", F.explode("isbns").alias("isbn")).select("trove_work_id", isbn_core(F.col("isbn")).alias("core")).dropna().distinct()
-    shared = best.select("canonical_id", "trove_work_id").join(ci, "trove_work_id").join(wi, ["canonical_id", "core"], "left_semi").select("canonical_id", "trove_work_id").distinct().withColumn("shared", F.lit(True))
-    best = best.join(shared, ["canonical_id", "trove_work_id"], "left")
-    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
-    best = best.select("canonical_id", "trove_work_id", "d", "rest", "gap", *FEATURES[:6], flag(F.col("gap") > YEARS_APART).alias("far"),
-                       flag(F.col("shared")).alias("same_isbn"), (flag(F.col("has_w") & F.col("has_c")) * (1 - flag(F.col("shared")))).alias("other_isbn"))
-    best = cut(_vague(cut(best, "features")), "features")
-    # Weak labels: a shared ISBN or an equal title, no years apart, against years apart, another work's marks, or other words.
-    yes = F.expr(f"other = 0 AND longer = 0 AND swapped = 0 AND far = 0 AND NOT vague AND (same_isbn = 1 OR d = 0) AND apart < 0.12")
-    no = F.expr("far = 1 OR other = 1 OR longer = 1 OR (swapped > 0 AND same_isbn = 0)")
-    labelled = best.withColumn("label", F.when(yes, 1).when(no, 0)).filter("label is not null").withColumn("h", F.xxhash64("canonical_id", "trove_work_id"))
-    sample = pd.concat([labelled.filter(F.col("label") == v).orderBy("h").limit(SAMPLE).toPandas() for v in (0, 1)])
-    if sample["label"].nunique() < 2:
-        return best.filter(yes).select("canonical_id", "trove_work_id", F.lit(1.0).alias("confidence"))
-    x, y = sample[FEATURES].to_numpy(float), sample["label"].to_numpy(float)
-    held = (sample["h"].to_numpy() % 3) == 0
-    weights = fit(x[~held], y[~held])
-    steps, levels = isotonic(np.column_stack([np.ones(held.sum()), x[held]]) @ weights, y[held])
+    told = best.filter("both_isbn").select("canonical_id", "trove_work_id")
+    shared = spread_join(wi, told.join(ci, "trove_work_id"), ["canonical_id", "core"]).select("canonical_id", "trove_work_id").distinct().withColumn("same_isbn", F.lit(True))
+    best = cut(best.join(shared, ["canonical_id", "trove_work_id"], "left").withColumn("same_isbn", F.coalesce("same_isbn", F.lit(False))), "labelled", best)
+    labelled = best.filter("both_isbn").withColumn("h", F.xxhash64("canonical_id", "trove_work_id"))
+    sample = pd.concat([labelled.filter(F.col("same_isbn") == v).orderBy("h").limit(SAMPLE).select("h", "same_isbn", *FEATURES).toPandas() for v in (True, False)])
+    x, y, held = sample[FEATURES].to_numpy(float), sample["same_isbn"].to_numpy(float), (sample["h"].to_numpy() % 3) == 0
+    weights = fit(x[~held], y[~held], prior=PRIOR)
+    held_scores = np.column_stack([np.ones(held.sum()), x[held]]) @ weights
+    steps, levels = calibrator(held_scores, y[held])
+    # A shared ISBN settles which of several titles was cut, and nothing else.
+    column = {name: F.col(name) for name in FEATURES} | {"several": F.when(F.col("same_isbn"), 0.0).otherwise(F.col("several"))}
     score = F.lit(float(weights[0]))
     for name, weight in zip(FEATURES, weights[1:]):
-        score = score + float(weight) * F.col(name)
+        score = score + float(weight) * column[name]
     # Between two points the probability rises evenly.
     between = F.lit(float(levels[-1]))
     for i in range(len(steps) - 1, 0, -1):
@@ -353,6 +400,22 @@ def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOL
         between = F.when(F.col("score") < high, rise).otherwise(between)
     below = F.when(F.col("score") <= float(steps[0]), float(levels[0])).otherwise(between)
     scored = best.withColumn("score", score).withColumn("confidence", F.round(below, 6))
-    # What the model can't weigh: by definition other works.
-    scored = scored.filter("other = 0 AND far = 0 AND longer = 0 AND swapped = 0 AND NOT vague")
-    return scored.filter(F.col("confidence") >= threshold).select("canonical_id", "trove_work_id", "confidence")
+    return scored.select("canonical_id", "trove_work_id", "confidence", *FEATURES, "d"), quality(np.interp(held_scores, steps, levels), y[held], len(sample), dict(zip(["intercept", *FEATURES], weights.round(2))))
+
+
+def quality(confidence: np.ndarray, y: np.ndarray, labelled: int, weights: dict) -> dict:
+    """Brier score and reliability by tenths of confidence."""
+    bins = np.minimum((confidence * 10).astype(int), 9)
+    rows = [(float(confidence[bins == b].mean()), float(y[bins == b].mean()), int((bins == b).sum())) for b in range(10) if (bins == b).any()]
+    brier, base = (float(((confidence - y) ** 2).mean()), float(y.mean() * (1 - y.mean()))) if len(y) else (float("nan"), float("nan"))
+    return {"labelled": labelled, "held": len(y), "brier": brier, "brier of the base rate": base, "reliability": rows, "weights": weights}
+
+
+def matched(works: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(canonical_id, trove_work_id, confidence) of the pairs that are the same work.
+
+    Rows without a title can't be matched by it and give nothing; titles of any length and any number of
+    rows of one work or one title count; empty tables give an empty result. Works issued more than ``YEARS_APART`` years apart
+    are never paired.
+    """
+    return scored_pairs(works, candidates)[0].filter(F.col("confidence") >= threshold).select("canonical_id", "trove_work_id", "confidence")

@@ -81,6 +81,50 @@ def test_cut_titles(spark):
     assert not {k for k in got if k[0] in (505, 506, 507)}
 
 
+@pytest.mark.parametrize("kind", ["slip", "subtitle", "cut"])
+def test_blocks_find_what_differs(spark, kind):
+    """Each kind of difference alone, on made titles: at least nine of ten pairs share a block."""
+    rng = random.Random(6)
+    titles = [t + rng.choice(["", ": a case for shared stewardship", " since the reform"]) for t in catalogue()]
+    works_, found = [], []
+    for i, t in enumerate(titles):
+        at = rng.randrange(4, len(t) - 4)
+        if kind == "slip":
+            works_.append(t)
+            found.append(t[:at] + t[at + 1] + t[at] + t[at + 2 :])
+        elif kind == "subtitle":
+            works_.append(t.split(":")[0] + ": what the evidence of ten years shows")
+            found.append(t.split(":")[0])
+        else:
+            works_.append(t[: max(20, at)])
+            found.append(t)
+    def side(rows, catalogue_):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i long, title string")
+        return df.select("i", matching.plain_title(matching.F.col("title"), catalogue_).alias("plain"))
+    a, b = side(works_, False), side(found, True)
+    left, right = matching._titles(a, "left"), matching._titles(b, "right")
+    plain = lambda df: {r.i: r.plain for r in df.collect()}
+    by_hash = lambda df: {r.t: r.whole for r in df.select("t", "whole").collect()}
+    l, r = by_hash(left), by_hash(right)
+    met = {(l[x.l], r[x.r]) for x in matching.candidate_titles(left, right).distinct().collect()}
+    bare = lambda df: {x.i: x.s for x in df.select("i", matching.squeezed(matching._bare("plain")).alias("s")).collect()}
+    wa, wb = bare(a), bare(b)
+    assert np.mean([(wa[i], wb[i]) in met for i in range(len(titles))]) >= 0.9 and plain(a)
+
+
+def test_confidence_comes_from_isbns(spark):
+    """Labels are shared and unshared ISBNs; without any, the prior decides."""
+    titles = catalogue()
+    rows = [(i, i, t, 2010, f"978{i:09d}7") for i, t in enumerate(titles[:80])]
+    t = [(f"w{i}", x, "2010", [f"978{i:09d}7" if i % 4 else f"978{i + 500:09d}7"]) for i, x in enumerate(titles[:80])]
+    works_ = spark.createDataFrame(rows, "row_id long, canonical_id long, title string, reference_year int, isbn string")
+    found = spark.createDataFrame(t, "trove_work_id string, trove_title string, trove_issued string, trove_isbns array<string>")
+    scored, report = matching.scored_pairs(works_, found)
+    assert report["labelled"] >= 80 and report["brier"] < 0.25 and {r.confidence for r in scored.filter("d = 0").collect()} <= {r.confidence for r in scored.collect()}
+    scored, report = matching.scored_pairs(works_.withColumn("isbn", matching.F.lit(None).cast("string")), found)
+    assert report["labelled"] == 0 and scored.filter("d = 0 AND confidence < 0.9").count() == 0
+
+
 def test_classifier_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 3))
@@ -89,7 +133,7 @@ def test_classifier_is_calibrated():
     w = matching.fit(x[:3000], y[:3000])
     score = np.column_stack([np.ones(1000), x[3000:]]) @ w
     assert ((score > 0) == (y[3000:] > 0)).mean() > 0.75
-    steps, levels = matching.isotonic(score, y[3000:])
+    steps, levels = matching.isotonic(score, y[3000:], np.ones(1000))
     assert (np.diff(steps) >= 0).all() and (np.diff(levels) >= -0.2).all()
     guess = levels[np.clip(np.searchsorted(steps, score, side="right") - 1, 0, None)]
     assert abs(guess.mean() - y[3000:].mean()) < 0.05

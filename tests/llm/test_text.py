@@ -54,6 +54,23 @@ def test_right_text_is_no_case(text):
     assert mojibake.repair(text, {})[0] is False
 
 
+@pytest.mark.parametrize("garbled,right", [("Ïî÷âà è âîäà by Müller and José", "Почва и вода by Müller and José"), ("Çàäà÷à FÊTE", "Задача FÊTE"), ("“ú–{Œê‚Ì–{ (Tokyo)", "日本語の本 (Tokyo)"), ("Ã…rhalm moorings", "Århalm moorings")])
+def test_only_matched_words_are_put_back(garbled, right):
+    assert mojibake.repair(garbled, {})[:2] == (True, right)
+
+
+@pytest.mark.parametrize("text", ["ÉÈÀ COLLÈGE", "ÜÖÄ ÀÈÌ", "see example.org/file.php?id=3 there", "AMANHÃ – TARDE", "ÑÁÉÍ"])
+def test_accents_are_no_other_alphabet(text):
+    assert mojibake.repair(text, {}) == (False, text, [])
+
+
+def test_places_decide_for_polish(spark):
+    good = [("Łódź i żółw " + x,) for x in "abcdefghijkl"]
+    df = spark.createDataFrame([(i, t) for i, (t,) in enumerate(good + [("£ódŸ i ¿ó³w",)])], "row_id long, title string")
+    got = {r.row_id: r.restored for r in mojibake.restore(df, "row_id", "title").collect()}
+    assert got == {12: "Łódź i żółw"}
+
+
 @pytest.mark.parametrize("text", ["sa�de agr�cola", "1909?1942", "Educa???o tropical", "ï¿½ lost"])
 def test_lost_signs_are_cases(text):
     found, _, kinds = mojibake.repair(text, {})
