@@ -29,7 +29,7 @@ from kollate.session import cut
 #: Signs of a shingle.
 SHINGLE = 3
 #: (bands, rows of a band) of the whole title, of its main part and of each opening. An opening only has to be found again.
-WHOLE, MAIN, OPENING = (16, 8), (10, 7), (2, 6)
+WHOLE, MAIN, OPENING = (14, 8), (8, 8), (2, 10)
 #: Letters and digits of the openings by whose bands a cut title meets the whole one; shorter titles meet by the whole alone.
 OPENINGS = (12, 16, 24, 32, 48, 64, 96)
 #: Bits of a block key.
@@ -37,7 +37,7 @@ KEY_BITS = 40
 #: Pairs of either weak label used; a third of them only to calibrate.
 SAMPLE = 10_000
 #: Works of one title issued further apart are different works.
-YEARS_APART = 3
+YEARS_APART, BUCKET = 3, 8
 THRESHOLD = 0.5
 #: Share of titles that must have a word for it to count as one.
 KNOWN_SHARE = 3e-4
@@ -237,7 +237,7 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
     tight = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     flags = ["dropped", "longer", "cut_off"]
     both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", *flags], a=tight("part_l"), b=tight("part_r"))
-    han = F.col("a").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
+    han = (F.octet_length("a") > 2 * size("a")) & F.col("a").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     limit = F.when(han, 2).otherwise(F.greatest(F.lit(EDITS_LEAST), F.ceil(EDITS * F.greatest(size("a"), size("b")))))
     both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", "a", "b", *flags], edits=limit.cast("int"), han=han)
     both = both.filter(F.abs(size("a") - size("b")) <= F.col("edits"))
@@ -248,13 +248,16 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
     both = both.select(*ids, "d", "rest", "stem", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
                        F.array_except(words("part_l"), words("part_r")).alias("lone_l"), F.array_except(words("part_r"), words("part_l")).alias("lone_r"))
     both = cut(both, "pairs", pairs)
-    lone = both.filter("d > 1 AND size(lone_l) > 0 AND size(lone_r) > 0").select("l", "r", F.inline(F.concat(
+    # Only pairs with words of their own on both sides are held against the vocabulary.
+    lonely = F.col("d").between(2, 2**30) & (F.size("lone_l") > 0) & (F.size("lone_r") > 0)
+    kept = ["p_l", "p_r", "d", "rest", "stem", "apart", "dropped", "cut_off", "longer"]
+    lone = both.filter(lonely).select("l", "r", F.inline(F.concat(
         F.transform("lone_l", lambda w: F.struct(F.lit(1).alias("left"), w.alias("token"))),
         F.transform("lone_r", lambda w: F.struct(F.lit(0).alias("left"), w.alias("token"))))))
-    real = lone.filter(F.length("token") >= WORD).join(known, "token", "left_semi").groupBy("l", "r").agg(F.sum("left").alias("real_l"), F.sum(1 - F.col("left")).alias("real_r"))
-    both = both.join(real, ["l", "r"], "left").fillna(0, ["real_l", "real_r"])
-    swapped = (F.col("real_l") > 0) & (F.col("real_r") > 0)
-    return both.filter(~swapped).select(F.col("p_l").alias("pl"), F.col("p_r").alias("pr"), "d", "rest", "stem", "apart", "dropped", "cut_off", "longer")
+    real = lone.filter(F.length("token") >= WORD).join(known, "token", "left_semi").groupBy("l", "r").agg(F.max("left").alias("on_l"), F.min("left").alias("on_r"))
+    swapped = real.filter("on_l = 1 AND on_r = 0").select("l", "r")
+    told = both.filter(lonely).select("l", "r", *kept).join(swapped, ["l", "r"], "left_anti").select(*kept)
+    return both.filter(~lonely).select(*kept).unionByName(told).withColumnsRenamed({"p_l": "pl", "p_r": "pr"})
 
 
 #: What the classifier weighs. ISBNs are the evidence its labels come from and no feature.
@@ -308,7 +311,7 @@ def calibrator(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _uncut_first(pairs: DataFrame, w: DataFrame) -> DataFrame:
     """Pairs of works and catalogue titles without those by a cut title where another title of the work shows how it goes on."""
     cuts = pairs.filter("cut_off = 1").select("canonical_id", "pl", "stem").distinct()
-    others = w.filter("plain is not null").join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", squeezed(_bare("plain")).alias("o")).distinct()
+    others = w.filter("plain is not null").join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", "plain").distinct().select("canonical_id", squeezed(_bare("plain")).alias("o"))
     n = F.length("stem")
     known = cuts.join(others, "canonical_id").filter((F.length("o") > n + 3) & (F.left("o", F.ceil(n / 2).cast("int")) == F.left("stem", F.ceil(n / 2).cast("int"))))
     known = known.select("canonical_id", "pl", F.lit(1.0).alias("cut_off")).distinct()
@@ -327,12 +330,12 @@ def _several(best: DataFrame) -> DataFrame:
 def _buckets(years: str, work: bool) -> Column:
     """Keys under which years of a work and a catalogue work meet if any two of them are ``YEARS_APART`` apart at most.
 
-    A year of a work is entered under every bucket it reaches. Under -1 the undated of the catalogue meet dated
+    Buckets hold ``BUCKET`` years; a year of a work is entered under every bucket it reaches. Under -1 the undated of the catalogue meet dated
     works, under -2 the undated works meet all of the catalogue."""
     if not work:
-        own = F.transform(years, lambda y: F.floor(y / (YEARS_APART + 1)).cast("int"))
+        own = F.transform(years, lambda y: F.floor(y / BUCKET).cast("int"))
         return F.array_distinct(F.array_append(F.when(F.size(years) == 0, F.array(F.lit(-1))).otherwise(own), -2))
-    near = F.flatten(F.transform(years, lambda y: F.transform(F.sequence(F.floor((y - YEARS_APART) / (YEARS_APART + 1)), F.floor((y + YEARS_APART) / (YEARS_APART + 1))), lambda b: b.cast("int"))))
+    near = F.flatten(F.transform(years, lambda y: F.transform(F.sequence(F.floor((y - YEARS_APART) / BUCKET), F.floor((y + YEARS_APART) / BUCKET)), lambda b: b.cast("int"))))
     return F.when(F.size(years) == 0, F.array(F.lit(-2))).otherwise(F.array_distinct(F.array_append(near, -1)))
 
 
@@ -379,7 +382,7 @@ def scored_pairs(works: DataFrame, candidates: DataFrame) -> tuple[DataFrame, di
     wi = w.filter("core is not null").select("canonical_id", "core").distinct()
     ci = c.filter("size(isbns) > 0").select("trove_work_id", F.explode("isbns").alias("isbn")).select("trove_work_id", isbn_core(F.col("isbn")).alias("core")).dropna().distinct()
     told = best.filter("both_isbn").select("canonical_id", "trove_work_id")
-    shared = spread_join(wi, told.join(ci, "trove_work_id"), ["canonical_id", "core"]).select("canonical_id", "trove_work_id").distinct().withColumn("same_isbn", F.lit(True))
+    shared = told.join(ci, "trove_work_id").join(wi, ["canonical_id", "core"]).select("canonical_id", "trove_work_id").distinct().withColumn("same_isbn", F.lit(True))
     best = cut(best.join(shared, ["canonical_id", "trove_work_id"], "left").withColumn("same_isbn", F.coalesce("same_isbn", F.lit(False))), "labelled", best)
     labelled = best.filter("both_isbn").withColumn("h", F.xxhash64("canonical_id", "trove_work_id"))
     sample = pd.concat([labelled.filter(F.col("same_isbn") == v).orderBy("h").limit(SAMPLE).select("h", "same_isbn", *FEATURES).toPandas() for v in (True, False)])

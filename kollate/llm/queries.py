@@ -41,7 +41,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     """One record for each work in several rows: the surviving value of each field."""
-    values = consensus.survivors(consensus.usable_values(table(spark, folder, WORKS), table(spark, folder, "era_institutions")))
+    values = consensus.surviving(table(spark, folder, WORKS), table(spark, folder, "era_institutions"))
     wide = values.groupBy("work").pivot("field", ["title", "doi", "reference_year", "outlet"]).agg(F.max("value"))
     return wide.withColumnRenamed("work", "canonical_id")
 
