@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 ROWS = 100_000
 
 
-def spread_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", rows: int = ROWS) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", rows: int = ROWS, counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined with ``few``; a key with more than ``rows`` rows of ``many`` is dealt out in parts by hash, and the rows of
     ``few`` of that key are repeated for each part.
 
     The result is that of the plain join for inner, left, left_semi and left_anti. Null keys meet nothing; they are dealt out
-    as well. The hot keys are at most one in ``rows`` rows, so the table of them is small enough to be broadcast.
+    as well. ``counted`` is a table of the keys with the column ``n``, their rows in ``many``, where that is known already. The hot keys are at most one in ``rows`` rows, so the table of them is small enough to be broadcast.
     """
-    counted = many.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows)
-    hot = F.broadcast(counted.select(*[F.col(c).alias(f"_{c}") for c in on], F.ceil(F.col("_rows") / rows).cast("int").alias("_parts")))
+    if counted is None:
+        counted = many.groupBy(*on).agg(F.count("*").alias("n"))
+    hot = F.broadcast(counted.filter(F.col("n") > rows).select(*[F.col(c).alias(f"_{c}") for c in on], F.ceil(F.col("n") / rows).cast("int").alias("_parts")))
 
     def parted(df: DataFrame) -> DataFrame:
         same = [df[c].eqNullSafe(hot[f"_{c}"]) for c in on]
