@@ -296,7 +296,7 @@ def usable_values(works: DataFrame, institutions: DataFrame) -> DataFrame:
     values = different({"title": F.col("title"), "outlet": F.col("outlet")}, F.max(F.coalesce("limited", F.lit(False))).alias("limited"))
     plain = different({"doi": F.when(F.col("doi_wellformed"), F.col("doi")), "reference_year": year})
     kept = ["work", "field", "value", "first", "delivered", "trust", "rows", "n"]
-    held = truncation.tails(values, [*kept, "limited"]).join(truncation.verdicts(texts), "h", "left")
+    held = truncation.tails(values, [*kept, "limited"]).join(truncation.verdicts(texts)[0], "h", "left")
     whole = held.filter(~(F.col("marked") | F.coalesce("short", F.lit(False)) | (F.col("limited") & F.coalesce("short_at_limit", F.lit(False)))))
     garbled = mojibake.garbled(needed.select(F.col("title").alias("text")).unionByName(needed.select(F.col("outlet").alias("text"))).filter("text is not null"))
     right = whole.withColumn("bad", garbled(F.col("value"))).filter(~F.col("bad")).select(*kept)

@@ -8,14 +8,15 @@ the word before it, while longer words that begin with it do.
 Punctuation stays on its word, so "the District:" and "the District" are different ends, and digits
 count as one sign. Dots, a replacement sign or half an entity left by the transfer are taken as a cut. A source's own
 limit shows as a length that far more of its values have than neighbouring lengths; a value of that
-length needs less evidence. A value of one word has no final pair and is judged by a mark alone: one that was cut
-without leaving a mark isn't found.
+length needs less evidence. Lengths are counted by different values, so that one popular value makes none. A value of one word is
+judged by what begins values.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from kollate.operators.skew import spread_join
 from kollate.session import cut
 
 #: An n-gram seen so often tells whether it ends values; a trigram that ended so many has shown that it may.
@@ -26,7 +27,9 @@ RARE_END, RARE_END_AT_LIMIT, RARE_END_OF_OPEN = 0.025, 0.35, 0.15
 OPEN_WORD, OPEN_SEEN = 0.02, 200
 #: Longer words must be so many times as usual as the fragment, or so many times if the trigram is usual itself.
 FRAGMENT_RATIO, FRAGMENT_RATIO_USUAL = 4, 10
-#: Rows of one length and source, and times the mean of the ten lengths before and after, that show a limit.
+#: Signs up to which all beginnings of a word are counted; of longer words those that are as long as a final word with the same start.
+PREFIX = 40
+#: Different values of one length and source, and times the mean of the ten lengths before and after, that show a limit.
 LIMIT_ROWS, LIMIT_RATIO = 12, 5
 
 _MARK = r"(\\.\\.+|…|�|&(a|am|amp|l|lt|g|gt|q|qu|quo|quot|#\\d*)?)"
@@ -68,18 +71,15 @@ PAIRS = "SELECT field, b, c, sum(inside) AS inside, sum(ends) AS ends FROM {gram
 
 SINGLES = "SELECT field, c, sum(inside) AS inside, sum(ends) AS ends FROM {pairs} GROUP BY field, c"
 
-#: How often a longer word begins with a fragment: after the word before it, and anywhere.
+#: How often a longer word begins with a fragment: after the word before it (``by`` field and b), or anywhere (by field).
 LONGER = """
+WITH words AS (SELECT {by}, c, inside + ends AS n, ends FROM {{counts}}),
+lengths AS (SELECT {by}, left(c, {prefix}) AS start, collect_set(length(c)) AS found FROM words WHERE ends > 0 AND length(c) > {prefix} GROUP BY {by}, left(c, {prefix}))
 SELECT h, sum(n) AS longer FROM (
-  SELECT explode(transform(sequence(1, length(c) - 1), k -> xxhash64(field, b, left(c, k)))) AS h, inside + ends AS n
-  FROM {pairs} WHERE length(c) > 1)
-GROUP BY h
-"""
-
-LONGER_WORDS = """
-SELECT h, sum(n) AS longer FROM (
-  SELECT explode(transform(sequence(1, length(c) - 1), k -> xxhash64(field, left(c, k)))) AS h, inside + ends AS n
-  FROM {singles} WHERE length(c) > 1)
+  SELECT explode(transform(sequence(1, least({prefix}, length(c) - 1)), k -> xxhash64({by}, left(c, k)))) AS h, n FROM words WHERE length(c) > 1
+  UNION ALL
+  SELECT explode(transform(filter(found, k -> k < length(c)), k -> xxhash64({by}, left(c, k)))) AS h, n
+  FROM (SELECT *, left(c, {prefix}) AS start FROM words WHERE length(c) > {prefix}) JOIN lengths USING ({by}, start))
 GROUP BY h
 """
 
@@ -87,15 +87,15 @@ LIMITS = """
 SELECT source, field, len FROM (
   SELECT source, field, len, n,
     (sum(n) OVER (PARTITION BY source, field ORDER BY len RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) - n) / 20.0 AS near
-  FROM (SELECT source, field, length(value) AS len, count(*) AS n FROM {rows} GROUP BY source, field, length(value)))
-WHERE n >= {limit_rows} AND n >= {limit_ratio} * near AND len >= 16
+  FROM (SELECT source, field, len, count(*) AS n FROM (SELECT source, field, length(value) AS len, xxhash64(value) AS v FROM {rows} GROUP BY ALL) GROUP BY ALL))
+WHERE n >= {limit_rows} AND n >= {limit_ratio} * near
 """
 
 #: Every final trigram with its counts, those of its last pair and last word, and of longer words.
 ENDS = """
 SELECT xxhash64(field, a, b, c) AS h, g.inside AS inside3, g.ends - 1 AS ends3, p.inside AS inside2, p.ends - 1 AS ends2, s.inside AS inside1, s.ends - 1 AS ends1,
   coalesce(l.longer, 0) AS longer2, coalesce(lw.longer, 0) AS longer1
-FROM (SELECT * FROM {grams} WHERE ends > 0 AND b <> '') g
+FROM (SELECT * FROM {grams} WHERE ends > 0) g
 JOIN {pairs} p USING (field, b, c)
 JOIN {singles} s USING (field, c)
 LEFT JOIN {longer} l ON l.h = xxhash64(g.field, g.b, g.c)
@@ -115,12 +115,15 @@ def _run(df: DataFrame, sql: str, **views) -> DataFrame:
     return df.sparkSession.sql(sql, **views)
 
 
-def final_trigrams(rows: DataFrame) -> DataFrame:
-    """(h, counts) of every different final trigram, by its hash."""
+def final_trigrams(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, counts) of every different final trigram, by its hash, and (h, n): how many values end so."""
     grams = cut(_run(rows, GRAMS, rows=rows), "grams")
     pairs = cut(_run(rows, PAIRS, grams=grams), "pairs")
     singles = cut(_run(rows, SINGLES, pairs=pairs), "singles")
-    return _run(rows, ENDS, grams=grams, pairs=pairs, singles=singles, longer=_run(rows, LONGER, pairs=pairs), longer_words=_run(rows, LONGER_WORDS, singles=singles))
+    longer = _run(rows, LONGER.format(by="field, b", prefix=PREFIX), counts=pairs)
+    longer_words = _run(rows, LONGER.format(by="field", prefix=PREFIX), counts=singles)
+    ends = _run(rows, ENDS, grams=grams, pairs=pairs, singles=singles, longer=longer, longer_words=longer_words)
+    return ends, _run(rows, "SELECT xxhash64(field, a, b, c) AS h, ends AS n FROM {grams} WHERE ends > 0", grams=grams)
 
 
 def field_rows(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFrame:
@@ -147,10 +150,11 @@ def tails(rows: DataFrame, kept: list[str]) -> DataFrame:
     return _run(rows, TAILS.format(columns=", ".join(kept)), rows=rows)
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """(h, short, short_at_limit) of the final trigrams that show a cut, at any length or at a source's limit."""
-    found = final_trigrams(rows).select("h", never_ends(RARE_END).alias("short"), never_ends(RARE_END_AT_LIMIT).alias("short_at_limit"))
-    return found.filter("short OR short_at_limit")
+def verdicts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, short, short_at_limit) of the final trigrams that show a cut, at any length or at a source's limit; (h, n) of all."""
+    ends, counted = final_trigrams(rows)
+    found = ends.select("h", never_ends(RARE_END).alias("short"), never_ends(RARE_END_AT_LIMIT).alias("short_at_limit"))
+    return found.filter("short OR short_at_limit"), counted
 
 
 def limits(rows: DataFrame) -> DataFrame:
@@ -163,10 +167,11 @@ def truncated(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
 
     Null and blank values and values of dots alone are never cut; repeated rows come out as often as they
     go in; the words of very long values all count. An empty table gives an empty result. Only hashes of
-    final trigrams travel with the rows, and only the trigrams that show a cut with them.
+    final trigrams travel with the rows, and only the trigrams that show a cut with them; a popular ending is dealt out.
     """
     rows = field_rows(df, key, source, fields)
-    found = tails(rows, ["key", "source", "field"]).join(verdicts(rows), "h", "left").filter("marked OR short OR short_at_limit")
+    short, counted = verdicts(rows)
+    found = spread_join(tails(rows, ["key", "source", "field"]), short, ["h"], "left", counted=counted).filter("marked OR short OR short_at_limit")
     found = found.join(limits(rows), ["source", "field", "len"], "left").filter("marked OR short OR limited AND short_at_limit")
     return found.select(F.col("key").alias(key), F.col("source").alias(source), "field")
 

@@ -119,3 +119,21 @@ def test_truncation(spark):
     shares = truncation.shares(df, "row_id", "src", ["title"]).head()
     assert shares.n_cut == len(cases)
     assert truncation.truncated(df.limit(0), "row_id", "src", ["title"]).count() == 0
+
+
+def test_single_words_and_long_words_are_judged(spark):
+    long_ = "https://repository.example.org/records/of/a/kind/" + "abc" * 30
+    values = ["Elsevier"] * 400 + ["Springer"] * 300 + [f"{long_}{k}" for k in range(40)] + [long_] * 1
+    cases = ["Elsev", "Sprin"]
+    whole = ["Elsevier", "Wiley", "Sage", "x" * 100_000]
+    rows = [(i, "s", v) for i, v in enumerate(values + cases + whole)]
+    df = spark.createDataFrame(rows, "row_id long, src string, publisher string")
+    n = len(values)
+    got = sorted(r.row_id - n for r in truncation.truncated(df, "row_id", "src", ["publisher"]).collect())
+    assert got == [-1, 0, 1]
+
+
+def test_a_limit_shows_by_different_values(spark):
+    popular = [(i, "s", "Popular Press") for i in range(500)]
+    df = spark.createDataFrame(popular + [(1000 + i, "s", f"title {i} {'x' * (20 + i % 60)}") for i in range(300)], "key long, source string, value string").selectExpr("key", "source", "'f' AS field", "value")
+    assert truncation.limits(df).count() == 0
