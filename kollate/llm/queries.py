@@ -75,11 +75,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.read_alike(table(spark, folder, "documents"))
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.classes(table(spark, folder, "documents"))
+
+
 def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.canonical(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p3_found, p3_confidence, p4_found, p4_records, p5_found, p5_restored, p6_ids, p7_containers, p7_filling, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p2_found, p3_found, p3_confidence, p4_found, p4_records, p5_found, p5_restored, p6_ids, p7_containers, p7_filling, p8_found, p8_classes, p8_forms)}
 
 #: The DOI without blanks and label, for DuckDB.
 _DOI = r"regexp_replace(lower(trim(doi)), '^(?:https?://(?:dx\.)?doi\.org/|info:\s*doi/|urn:doi:|doi(?:\s*[:.=]\s*|\s+|/))+\s*', '')"

@@ -192,10 +192,15 @@ def test_packing(spark, shard):
     assert packing.pack(items.limit(0), budgets).count() == 0
 
 
+def test_no_budget_gives_no_containers(spark):
+    items = spark.createDataFrame([(1, 5)], "doc_id long, n_tokens long")
+    assert packing.pack(items, spark.createDataFrame([("void", 0), ("null", None)], "budget_name string, capacity_tokens int")).count() == 0
+
+
 def test_genetic_steps_keep_every_item():
     rng = random.Random(1)
-    sizes = np.array([rng.randrange(20, 70) for _ in range(120)])
+    sizes = [rng.randrange(20, 70) for _ in range(120)]
     start = packing._start(sizes, 100, 5)
-    best = packing.evolve(sizes, 100, start, 30, 5)[0]
-    assert sorted(i for b in best for i in b) == list(range(120)) and all(sizes[b].sum() <= 100 for b in best)
-    assert len(best) <= len(start[0])
+    best, fill = packing.evolve(sizes, 100, start, 30, 5)[0]
+    assert sorted(i for b in best for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) == f <= 100 for b, f in zip(best, fill))
+    assert len(best) <= len(start[0][0])

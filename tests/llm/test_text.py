@@ -85,8 +85,8 @@ def test_one_byte_pairs_need_neighbours(spark):
     assert mojibake.restore(df.limit(0), "row_id", "title").count() == 0
 
 
-ALIKE = [("été", "été"), ("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("Mοnԁor", "Mondor"), ("οικoνομια", "οικονομια"), ("культyра", "культура"), ("ﬁsh", "fish"), ("co­op", "coop"), ("a​b", "ab"), ("ｶﾞ", "ガ"), ("Å", "Å"), ("non‑break", "non-break"), ("ạ̇", "ạ̇"), ("x y", "x y"), ("☃︎", "☃")]
-APART = [("α-diversity", "a-diversity"), ("x²", "x2"), ("½", "1/2"), ("–", "-"), ("’", "'"), ("é", "e"), ("A", "a"), ("٣", "3"), ("H₂O", "H2O"), ("👩‍🔬", "👩🔬"), ("a b", "a  b")]
+ALIKE = [("été", "été"), ("ｆｕｌｌ　ｗｉｄｔｈ", "full width"), ("Mοnԁor", "Mondor"), ("οικoνομια", "οικονομια"), ("культyра", "культура"), ("ﬁsh", "fish"), ("co­op", "coop"), ("a​b", "ab"), ("ｶﾞ", "ガ"), ("Å", "Å"), ("non‑break", "non-break"), ("ạ̇", "ạ̇"), ("x y", "x y"), ("☃︎", "☃"), ("한국어", "한국어"), ("ӏoan", "loan"), ("ρerson", "person"), ("υsage", "usage"), ("ϲode", "code"), ("ѕսn", "sun"), ("𝐛𝐨𝐥𝐝", "bold"), ("ᎪᏟ", "AC"), ("ο texto", "o texto")]
+APART = [("α-diversity", "a-diversity"), ("x²", "x2"), ("½", "1/2"), ("–", "-"), ("’", "'"), ("é", "e"), ("A", "a"), ("٣", "3"), ("H₂O", "H2O"), ("👩‍🔬", "👩🔬"), ("a b", "a  b"), ("ρ-value", "p-value"), ("ν", "v"), ("한", "하"), ("ı", "i")]
 
 
 def test_look_alikes(spark):
@@ -103,6 +103,22 @@ def test_pairs_that_read_alike(spark):
     assert lookalike.read_alike(df.limit(0)).count() == 0
 
 
+def test_safe_signs_are_left_as_they_are():
+    written, composed = dict(lookalike.mapping_rows()), dict(lookalike.composition_rows())
+    twins = set("".join(own for own, _ in lookalike.TWINS.values()))
+    for low, high in lookalike.SAFE:
+        for sign in map(chr, range(low, high + 1)):
+            to = written.get(sign, sign)
+            assert (to == sign or composed.get(to) == sign) and sign not in twins, hex(ord(sign))
+
+
+def test_classes_of_texts_that_read_alike(spark):
+    rows = [(1, "the Kasvelbur text"), (2, "the Kаsvelbur text"), (3, "the Kasvelbur text"), (4, None), (5, "alone"), (6, " "), (2, "the Kаsvelbur text"), (7, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, lookalike.classes(df).collect())) == [(1, 1, 4, 2), (2, 1, 4, 2), (2, 1, 4, 2), (3, 1, 4, 2)]
+    assert sorted(r.form for r in lookalike.canonical(df).collect() if r.doc_id == 2) == ["the Kasvelbur text"] * 2
+
+
 def corpus():
     titles = [f"A study of {a} {b} in the {p} District: a case for shared stewardship" for a in ("rural", "urban", "coastal") for b in ("water quality", "soil salinity", "bridge fatigue") for p in ("Nimvar", "Kosho", "Velmon", "Tornga")]
     return titles * 3 + [t.split(":")[0] for t in titles]
