@@ -2,13 +2,14 @@
 
 Connected components on a two-dimensional grid. Vertices are hashed into ``side`` blocks; an edge
 belongs to the cell of its two blocks. A round runs a union-find inside every cell and exchanges the
-representatives: each vertex takes the first one it got from the cells of its row and column. Vertices
+representatives: each vertex takes the first one it got from the cells of its row and of its column; as cells are kept for
+either order of their blocks alike, both exchanges are one aggregation by vertex. Vertices
 that represent nobody are then done, and what remains are edges between representatives. The rounds end
-when no such edge is left; parents are then followed back down.
+when no such edge is left; parents are then followed back down. There are two blocks at least, however few edges are left.
 
 Representatives are chosen by a mixed order of the ids, not by the ids themselves, so that a chain of
 rising ids also loses a fixed share of its vertices in every round. A hub with a third of all edges is
-spread over the ``side`` cells of its row, so no cell grows with it.
+spread over the ``side`` cells of its row, so no cell grows with it; joins on a key or head that many rows have deal it out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from kollate.session import cut
+from kollate.operators.skew import spread_join
+from kollate.session import cut, release
 
 #: Edges a cell may hold on average, and of one hub's row.
 CELL_EDGES = 500_000
@@ -73,18 +75,16 @@ def connected_groups(edges: DataFrame, left: str = "u", right: str = "v", cell_e
     """
     rest = cut(_ordered(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).dropna(), "a", "b"), "edges")
     parents: list[DataFrame] = []
+    exchanged: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         n = rest.count()
         if not n:
             break
-        side = max(1, math.ceil(math.sqrt(n / cell_edges)), math.ceil(n / (12 * cell_edges)))
+        side = max(2, math.ceil(math.sqrt(n / cell_edges)), math.ceil(n / (12 * cell_edges)))
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
         cells = rest.withColumn("bu", block("u")).withColumn("bv", block("v"))
         cells = cells.select("u", "v", F.least("bu", "bv").alias("row"), F.greatest("bu", "bv").alias("column"))
         local = cells.groupBy("row", "column").applyInPandas(_cell, "node long, root long, key long")
-        if side == 1:  # one cell saw every edge that is left: its representatives are final
-            parents.append(cut(local.select("node", F.col("root").alias("parent")), "parents"))
-            break
         local = cut(local, "local")
         parent = local.groupBy("node").agg(F.min(F.struct("key", "root"))["root"].alias("parent"))
         heads = local.select(F.col("root").alias("node")).distinct().withColumn("head", F.lit(True))
@@ -92,7 +92,8 @@ def connected_groups(edges: DataFrame, left: str = "u", right: str = "v", cell_e
         parents.append(parent.filter("head is null").select("node", "parent"))
         between = local.join(parent, "node").select("root", "parent")
         kept = parent.filter("head").select(F.col("node").alias("root"), "parent")
-        rest = cut(_ordered(between.unionByName(kept), "root", "parent"), "edges")
+        rest = cut(_ordered(between.unionByName(kept), "root", "parent"), "edges", rest, local)
+        exchanged.append(parent)
     else:
         raise RuntimeError(f"representatives did not stabilise in {MAX_ROUNDS} rounds")
     if not parents:
@@ -100,10 +101,12 @@ def connected_groups(edges: DataFrame, left: str = "u", right: str = "v", cell_e
     final = parents[-1].withColumnRenamed("parent", "head")
     for parent in reversed(parents[:-1]):  # a parent of one round may have got a parent in a later one
         upper = final.select(F.col("node").alias("parent"), F.col("head").alias("up"))
-        lower = parent.join(upper, "parent", "left").select("node", F.coalesce("up", "parent").alias("head"))
-        final = cut(lower.unionByName(final), "groups")
-    smallest = final.groupBy("head").agg(F.least(F.min("node"), F.col("head")).alias("group"))
-    members = final.join(smallest, "head").select("node", "group")
+        lower = spread_join(parent, upper, ["parent"], "left").select("node", F.coalesce("up", "parent").alias("head"))
+        final = cut(lower.unionByName(final), "groups", *([final] if hasattr(final, "_cut") else []))
+    if len(parents) > 1:
+        release(*exchanged)
+    smallest = final.groupBy("head").agg(F.least(F.min("node"), F.col("head")).alias("group"), F.count("*").alias("n"))
+    members = spread_join(final, smallest.select("head", "group"), ["head"], counted=smallest.select("head", "n")).select("node", "group")
     return members.unionByName(smallest.select(F.col("head").alias("node"), "group"))
 
 
@@ -112,9 +115,9 @@ def star_edges(members: DataFrame, key: str, node: str) -> DataFrame:
 
     Keys with one node are dropped before the join, so only real ties are shuffled a second time.
     """
-    m = members.select(F.col(key).alias("k"), F.col(node).alias("v")).dropna().distinct()
-    rep = m.groupBy("k").agg(F.min("v").alias("u"), F.max("v").alias("top")).filter("u < top").select("k", "u")
-    return m.join(rep, "k").filter("u < v").select("u", "v")
+    m = cut(members.select(F.col(key).alias("k"), F.col(node).alias("v")).dropna().distinct(), "members")
+    rep = m.groupBy("k").agg(F.min("v").alias("u"), F.max("v").alias("top"), F.count("*").alias("n")).filter("u < top")
+    return spread_join(m, rep.select("k", "u"), ["k"], counted=rep.select("k", "n")).filter("u < v").select("u", "v")
 
 
 def normal_doi(column) -> F.Column:
