@@ -45,6 +45,8 @@ KNOWN_SHARE = 3e-4
 WORD = 4
 #: Signs of what a cut took, by which the works it may have been are told apart.
 REST = 60
+#: Signs of the openings by which titles of one work are held against each other.
+STEMS = (6, 12, 32)
 #: Edits by which titles of one work may differ, as a share of their length, and at least.
 EDITS, EDITS_LEAST = 0.08, 3
 
@@ -64,7 +66,7 @@ OTHER_STARTS = ("review", "book", "reviews", "teachers", "teacher", "students",
 OTHER_WORK = r"^(review of|book review|reviews? on|(teachers?|students?|instructors?)'?s? (companion|guide|manual|handbook)( to)?|companion to|study guide( to)?|index to|supplement to|abstracts? of|notes on|summary of|commentary on)\b|\b(volume|vol|part|band|tome|tomo|book|pt|series|teil|том|τόμος)\.? ?([0-9]+|[ivx]+)\W*$"
 
 
-def _where(text: Column, signs: str, pattern: str, to: str = "") -> Column:
+def _where(text: Column, signs: str | tuple[str, ...], pattern: str, to: str = "") -> Column:
     """Replaces a pattern where one of the signs occurs; elsewhere the text isn't searched."""
     has = F.contains(text, F.lit(signs[0]))
     for sign in signs[1:]:
@@ -76,7 +78,9 @@ def plain_title(column: Column, catalogue: bool) -> Column:
     """Lower-case title without accents, and without a cataloguer's additions."""
     text = _where(_where(column, "/", _RESPONSIBILITY), "[(", _MEDIUM) if catalogue else column
     text = F.when(F.right(text, F.lit(4)).rlike(r"\.\.|…|�"), F.regexp_replace(text, r"\s*(\.\.+|…|�)\s*$", "")).otherwise(text)
-    return F.trim(F.regexp_replace(F.translate(F.lower(text), *FOLD), r"\s\s+|[\t\n\r]", " "))
+    low = F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")
+    low = F.when(F.length(low) < F.octet_length(low), F.translate(low, *FOLD)).otherwise(low)
+    return F.trim(_where(low, ("  ",), r"  +", " "))
 
 
 def squeezed(column: Column) -> Column:
@@ -232,25 +236,24 @@ def title_features(pairs: DataFrame, left: DataFrame, right: DataFrame, known: D
     # A cut leaves the last word in doubt.
     part_r = F.when(cut_off | F.col("longer"), F.substring(F.col("whole_r"), F.lit(1), size("whole_l"))).otherwise(F.col("whole_r"))
     rest = F.when(cut_off, F.substring(F.col("whole_r"), size("whole_l") + 1, F.lit(REST)))
-    stem = F.when(cut_off, F.col("whole_l"))
-    both = _once(both, [*ids, "part_l", "longer"], part_r=part_r, cut_off=cut_off, rest=rest, stem=stem, dropped=size("part_l") < size("whole_l"))
+    both = _once(both, [*ids, "part_l", "longer"], part_r=part_r, cut_off=cut_off, rest=rest, dropped=size("part_l") < size("whole_l"))
     tight = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     flags = ["dropped", "longer", "cut_off"]
-    both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", *flags], a=tight("part_l"), b=tight("part_r"))
+    both = _once(both, [*ids, "part_l", "part_r", "rest", *flags], a=tight("part_l"), b=tight("part_r"))
     han = (F.octet_length("a") > 2 * size("a")) & F.col("a").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
     limit = F.when(han, 2).otherwise(F.greatest(F.lit(EDITS_LEAST), F.ceil(EDITS * F.greatest(size("a"), size("b")))))
-    both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", "a", "b", *flags], edits=limit.cast("int"), han=han)
+    both = _once(both, [*ids, "part_l", "part_r", "rest", "a", "b", *flags], edits=limit.cast("int"), han=han)
     both = both.filter(F.abs(size("a") - size("b")) <= F.col("edits"))
-    both = _once(both, [*ids, "part_l", "part_r", "rest", "stem", "a", "b", "han", *flags], d=F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("levenshtein(a, b, edits)")))
+    both = _once(both, [*ids, "part_l", "part_r", "rest", "a", "b", "han", *flags], d=F.when(F.col("a") == F.col("b"), 0).otherwise(F.expr("levenshtein(a, b, edits)")))
     # Where words aren't divided, two signs in the place of two others are a word.
     both = both.filter((F.col("d") >= 0) & ~(F.col("han") & (F.col("d") == 2) & (size("a") == size("b"))))
     words = lambda c: F.split(F.col(c), " ")
-    both = both.select(*ids, "d", "rest", "stem", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
+    both = both.select(*ids, "d", "rest", *[F.col(c).cast("double").alias(c) for c in flags], (F.col("d") / F.greatest(size("a"), size("b"), F.lit(1))).alias("apart"),
                        F.array_except(words("part_l"), words("part_r")).alias("lone_l"), F.array_except(words("part_r"), words("part_l")).alias("lone_r"))
     both = cut(both, "pairs", pairs)
     # Only pairs with words of their own on both sides are held against the vocabulary.
     lonely = F.col("d").between(2, 2**30) & (F.size("lone_l") > 0) & (F.size("lone_r") > 0)
-    kept = ["p_l", "p_r", "d", "rest", "stem", "apart", "dropped", "cut_off", "longer"]
+    kept = ["p_l", "p_r", "d", "rest", "apart", "dropped", "cut_off", "longer"]
     lone = both.filter(lonely).select("l", "r", F.inline(F.concat(
         F.transform("lone_l", lambda w: F.struct(F.lit(1).alias("left"), w.alias("token"))),
         F.transform("lone_r", lambda w: F.struct(F.lit(0).alias("left"), w.alias("token"))))))
@@ -308,14 +311,26 @@ def calibrator(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return isotonic(scores, labels, weights)
 
 
-def _uncut_first(pairs: DataFrame, w: DataFrame) -> DataFrame:
-    """Pairs of works and catalogue titles without those by a cut title where another title of the work shows how it goes on."""
-    cuts = pairs.filter("cut_off = 1").select("canonical_id", "pl", "stem").distinct()
-    others = w.filter("plain is not null").join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", "plain").distinct().select("canonical_id", squeezed(_bare("plain")).alias("o"))
-    n = F.length("stem")
-    known = cuts.join(others, "canonical_id").filter((F.length("o") > n + 3) & (F.left("o", F.ceil(n / 2).cast("int")) == F.left("stem", F.ceil(n / 2).cast("int"))))
-    known = known.select("canonical_id", "pl", F.lit(1.0).alias("cut_off")).distinct()
-    return pairs.join(known, ["canonical_id", "pl", "cut_off"], "left_anti").drop("stem")
+def _openings(column: Column) -> list[Column]:
+    """The length of a title and hashes of its openings of ``STEMS`` signs."""
+    return [F.length(column).alias("n"), *[F.hash(F.left(column, F.lit(k))).alias(f"o{k}") for k in STEMS]]
+
+
+def _uncut_first(pairs: DataFrame, mine: DataFrame) -> DataFrame:
+    """Pairs of works and catalogue titles without those by a cut title where a longer title of the work with the same opening shows
+    how it goes on. ``mine``: the works' rows with their titles' lengths and openings, of which the longest that is at most half as
+    long as the cut title must agree."""
+    cuts = pairs.filter("cut_off = 1").select("canonical_id", F.col("pl").alias("p")).distinct()
+    names = ["n", *[f"o{k}" for k in STEMS]]
+    rows = mine.select("canonical_id", "p", *names).join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").distinct()
+    stems = rows.join(cuts, ["canonical_id", "p"])
+    others = rows.select("canonical_id", *[F.col(c).alias(f"other_{c}") for c in names])
+    same = F.lit(True)
+    for k in STEMS:
+        same = F.when(F.col("n") >= 2 * k, F.col(f"o{k}") == F.col(f"other_o{k}")).otherwise(same)
+    known = stems.join(others, "canonical_id").filter((F.col("other_n") > F.col("n") + 3) & same)
+    known = known.select("canonical_id", F.col("p").alias("pl"), F.lit(1.0).alias("cut_off")).distinct()
+    return pairs.join(known, ["canonical_id", "pl", "cut_off"], "left_anti")
 
 
 def _several(best: DataFrame) -> DataFrame:
@@ -345,14 +360,16 @@ def paired_works(features: DataFrame, w: DataFrame, c: DataFrame) -> DataFrame:
     Works under one common title meet by title and year, so neither all works of a title nor all years of it come together.
     """
     # Each title's works once, however many rows say so, and only of titles that are paired.
-    titled = w.join(features.select(F.col("pl").alias("p")).distinct(), "p", "left_semi")
-    wt = titled.select("canonical_id", F.col("p").alias("pl")).distinct()
+    titled = w.select("canonical_id", "p").join(features.select(F.col("pl").alias("p")).distinct(), "p", "left_semi").distinct()
+    wt = cut(titled.withColumnRenamed("p", "pl"), "titled")
+    mine = cut(w.join(wt.select("canonical_id").distinct(), "canonical_id", "left_semi"), "rows")
     # Sets of years have 600 members at most.
-    years = w.join(titled.select("canonical_id").distinct(), "canonical_id", "left_semi").groupBy("canonical_id").agg(F.collect_set("year").alias("years"), F.bool_or(F.col("core").isNotNull()).alias("has_w"))
-    wt = cut(wt.join(years, "canonical_id"), "titled")
+    years = mine.groupBy("canonical_id").agg(F.collect_set("year").alias("years"), F.bool_or(F.col("core").isNotNull()).alias("has_w"))
+    wt = wt.join(years, "canonical_id")
     issued = c.groupBy("trove_work_id").agg(F.collect_set("year").alias("issued"), F.bool_or(F.size("isbns") > 0).alias("has_c"))
     ct = c.join(features.select(F.col("pr").alias("p")).distinct(), "p", "left_semi").select("trove_work_id", F.col("p").alias("pr")).distinct().join(issued, "trove_work_id")
-    met = cut(_uncut_first(spread_join(wt, features, ["pl"]), w), "works-by-title", wt)
+    met = cut(spread_join(wt, features, ["pl"]), "works-by-title")
+    met = _uncut_first(met, mine)
     met = met.withColumn("bucket", F.explode(_buckets("years", True)))
     ct = ct.withColumn("bucket", F.explode(_buckets("issued", False)))
     both = spread_join(met, ct, ["pr", "bucket"])
@@ -370,11 +387,11 @@ def scored_pairs(works: DataFrame, candidates: DataFrame) -> tuple[DataFrame, di
     each tenth of confidence the mean confidence, the share of matches and the number of pairs.
     """
     w = mojibake.mend(works.filter("canonical_id is not null").select("canonical_id", "title", "reference_year", "isbn"), "title")
-    w = cut(w.select("canonical_id", plain_title(F.col("title"), False).alias("plain"), F.when(F.col("reference_year").between(1500, 2100), F.col("reference_year")).alias("year"), isbn_core(F.col("isbn")).alias("core")).withColumn("p", F.xxhash64("plain")), "works")
+    w = cut(w.select("canonical_id", plain_title(F.col("title"), False).alias("plain"), F.when(F.col("reference_year").between(1500, 2100), F.col("reference_year")).alias("year"), isbn_core(F.col("isbn")).alias("core")).withColumn("p", F.xxhash64("plain")).select("*", *_openings(F.col("plain"))), "works")
     c = candidates.select("trove_work_id", plain_title(F.col("trove_title"), True).alias("plain"), _year("trove_issued").alias("year"), F.col("trove_isbns").alias("isbns")).filter("trove_work_id is not null").withColumn("p", F.xxhash64("plain"))
     c = cut(c, "candidates")
     left, right = _titles(w.filter("plain is not null"), "left"), _titles(c.filter("plain is not null"), "right")
-    c = c.drop("plain")
+    w, c = w.drop("plain"), c.drop("plain")
     pairs = cut(candidate_titles(left, right).unionByName(isbn_titles(w, c, left, right)).distinct(), "blocks")
     features = cut(title_features(pairs, left, right, _tokens(left)), "title-pairs")
     best = cut(_several(cut(paired_works(features, w, c), "best")), "features")
