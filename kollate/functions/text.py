@@ -158,16 +158,32 @@ def family_given(x: _C) -> tuple[Column, Column]:
 
 
 def first_surname(x: _C) -> Column:
-    """Surname of the first listed author in capitals: before a comma, before initials, or the last word."""
-    first = F.trim(F.split_part(F.split_part(_c(x), F.lit(";"), F.lit(1)), F.lit(" and "), F.lit(1)))
-    picked = (
-        F.when(F.instr(first, ",") > 0, F.split_part(first, F.lit(","), F.lit(1)))
-        .when(first.rlike(r"^\S+\s+(?:[A-Z]\.?\s*)+$"), F.split_part(first, F.lit(" "), F.lit(1)))
-        .otherwise(F.split_part(first, F.lit(" "), F.lit(-1)))
-    )
+    """Surname of the first of authors divided by semicolons, in capitals: before a comma; the first word, if it has three letters at
+    least and the last has two at most without its dots; else the last word."""
+    first = strip(F.split_part(_c(x), F.lit(";"), F.lit(1)))
+    words = F.split(first, r"(?U)\s+")
+    last = F.regexp_replace(F.try_element_at(words, F.lit(-1)), r"\.+$", "")
+    initials = (F.size(words) >= 2) & (F.length(last) <= 2) & (F.length(F.try_element_at(words, F.lit(1))) > 2)
+    picked = F.when(F.contains(first, F.lit(",")), F.split_part(first, F.lit(","), F.lit(1))).when(initials, F.try_element_at(words, F.lit(1))).otherwise(F.try_element_at(words, F.lit(-1)))
     return null_if_blank(F.upper(F.regexp_replace(picked, "[^a-zA-Z]", "")))
 
 
+#: Parts of addresses by how freely they can be read; others come last.
+OPEN_ADDRESSES = (
+    ("arxiv.org", "journals.plos.org", "frontiersin.org", "mdpi.com", "biomedcentral.com", "europepmc.org"),
+    ("edu.au", "anu.edu", "usyd.edu", "unsw.edu", "uq.edu", "unimelb.edu", "curtin.edu", "qut.edu", "monash.edu", "adelaide.edu"),
+    ("zenodo.org", "figshare.com", "osf.io", "biorxiv.org", "medrxiv.org", "researchgate.net"),
+)
+
+
+def address_tier(x: _C) -> Column:
+    """0 for open sources, 1 for university repositories, 2 for other repositories, 3 for all else; the first that holds."""
+    out = F.lit(len(OPEN_ADDRESSES))
+    for tier, parts in reversed(list(enumerate(OPEN_ADDRESSES))):
+        out = F.when(any_contains(x, parts), tier).otherwise(out)
+    return out
+
+
 def content_tokens(x: _C) -> Column:
     """Different words of three ASCII letters or more, without stop words."""
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(_c(x)), F.lit("[a-z]{3,}"), F.lit(0))), F.array(*map(F.lit, STOP_WORDS)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_RANGE = r"\b((?:1[5-9]|20[0-4])\d{2})( {0,2}[-–—]{0,2} {0,2})((?:1[5-9]|20[0-4])\d{2})\b"
+#: Years from 1500 to 2049, two blanks at most beside two signs of a dash at most.
+_YEAR, _DASH = r"(?:1[5-9]\d{2}|20[0-4]\d)", "[-‐‑‒–—―−_]{0,2}"
+_RANGE = rf"{_YEAR}(?U:\s){{0,2}}{_DASH}(?U:\s){{0,2}}{_YEAR}"
 #: A small list of spellings by dialect; full dictionaries are not part of this library.
 US_WORDS = ("color", "behavior", "center", "organization", "labor", "analyze", "modeling", "fiber", "program")
 GB_WORDS = ("colour", "behaviour", "centre", "organisation", "labour", "analyse", "modelling", "fibre", "programme")

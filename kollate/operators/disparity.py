@@ -27,14 +27,8 @@ def cropped(a: Column, b: Column) -> Column:
 
 
 def one_sign_apart(a: Column, b: Column) -> Column:
-    """Whether adding one sign to one text gives the other: what is common at the start and end covers the shorter."""
-    first = F.length(a) < F.length(b)
-    short, long_ = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
-    n = F.length(short)
-    # The longest common start is found by comparing all starts; titles are short.
-    starts = F.filter(F.sequence(F.lit(0), n), lambda k: F.left(short, k) == F.left(long_, k))
-    k = F.array_max(starts)
-    return (F.abs(F.length(a) - F.length(b)) == 1) & (F.substring(short, k + 1, n) == F.substring(long_, k + 2, n))
+    """Whether adding one sign to one text gives the other: one edit, and one sign of length, apart."""
+    return (F.abs(F.length(a) - F.length(b)) == 1) & (F.levenshtein(a, b, 1) == 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

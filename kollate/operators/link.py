@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kollate.functions.udfs import jaro_winkler
+from kollate.session import cut
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,9 @@ def best(candidates: DataFrame, by: str, *order: Column) -> DataFrame:
 
 
 def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers: list[Tier]) -> DataFrame:
-    """(left_id, right_id, match_tier): every record of ``left`` that a tier pairs, with its best candidate."""
+    """(left_id, right_id, match_tier): every record of ``left`` that a tier pairs, with its best candidate.
+
+    What a tier found is written to the shared folder where another tier or the union needs it again."""
     done, rest = None, left
     for tier in tiers:
         r = right.withColumn("_k", tier.right).filter("_k is not null")
@@ -49,8 +52,11 @@ def link(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tiers:
             pairs = pairs.filter(tier.extra())
         found = pairs.select(left_id, right_id, *[o.alias(f"_o{i}") for i, o in enumerate(tier.order)])
         found = best(found, left_id, *[F.col(f"_o{i}") for i in range(len(tier.order))], F.col(right_id)).select(left_id, right_id, F.lit(tier.name).alias("match_tier"))
+        if len(tiers) > 1:
+            found = cut(found, "tier")
         done = found if done is None else done.unionByName(found)
-        rest = rest.join(found.select(left_id), left_id, "left_anti")
+        if tier is not tiers[-1]:
+            rest = rest.join(found.select(left_id), left_id, "left_anti")
     return done
 
 

@@ -348,6 +348,11 @@ def outlets_repaired(t):
     return resolve.repair_truncated(t.works.select("row_id", "outlet"), "outlet", "outlet", 61).select("row_id", "repaired", "cut")
 
 
-@query()
+_INSIDE = "list_bool_or(list_transform(range(1, length(b) + 1), lambda i: substr(b, 1, i - 1) || substr(b, i + 1) = a))"
+
+
+@query(f"""WITH t AS (SELECT canonical_id AS g, title, count(*) AS n FROM era_research_outputs_canonical WHERE title IS NOT NULL GROUP BY 1, 2), p AS (SELECT x.g, x.title AS a, y.title AS b, y.n FROM t x JOIN t y ON x.g = y.g AND length(y.title) = length(x.title) + 1),
+q AS (SELECT g, a, first(b ORDER BY n DESC, b) AS b FROM p WHERE {_INSIDE} GROUP BY 1, 2), s AS (SELECT *, substr(b, list_max(list_filter(range(0, length(b)), lambda k: substr(a, 1, k) = substr(b, 1, k))) + 1, 1) AS sign FROM q)
+SELECT row_id, title, b AS repaired, CASE WHEN regexp_matches(sign, '\\s') THEN 'K' WHEN regexp_matches(sign, '[\\p{{L}}\\p{{N}}]') THEN 'B' ELSE 'R' END AS indel FROM era_research_outputs_canonical JOIN s ON canonical_id = g AND title = a""")
 def titles_repaired(t):
     return resolve.repair_indels(t.works.select("row_id", "canonical_id", "title"), "canonical_id", "title").filter("indel is not null").select("row_id", "title", "repaired", "indel")

@@ -102,10 +102,17 @@ def top_ten(t):
     return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").limit(10)
 
 
-@query()
+@query("SELECT row_id, title FROM era_research_outputs_canonical ORDER BY md5(CAST(row_id AS VARCHAR) || '-42'), row_id LIMIT 20")
 def seeded_sample(t):
-    """Twenty works in a fixed pseudo-random order."""
-    return t.works.select("row_id", "title").orderBy(F.xxhash64("row_id"), "row_id").limit(20)
+    """Twenty works in an order that a seed fixes: a random sample that comes out alike anywhere."""
+    return t.works.select("row_id", "title").orderBy(F.md5(F.concat(F.col("row_id").cast("string"), F.lit("-42"))), "row_id").limit(20)
+
+
+@query("SELECT row_id, delivered_by FROM era_research_outputs_canonical WHERE doi IS NOT NULL ORDER BY CASE WHEN doi_wellformed THEN 0 ELSE 1 END, md5(CAST(row_id AS VARCHAR) || '-7'), row_id LIMIT 50")
+def priority_sample(t):
+    """Fifty works, those with a well-formed DOI first, in a seeded order each."""
+    first = F.when(F.col("doi_wellformed"), 0).otherwise(1)
+    return t.works.filter("doi IS NOT NULL").select("row_id", "delivered_by", first.alias("p")).orderBy("p", F.md5(F.concat(F.col("row_id").cast("string"), F.lit("-7"))), "row_id").limit(50).select("row_id", "delivered_by")
 
 
 @query("SELECT vec_id, i AS position, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)")
@@ -133,9 +140,9 @@ def regex_filter(t):
     return t.works.filter(F.col("doi").rlike(r"^10\.[0-9]{4,9}/\S+$")).select("row_id", "doi")
 
 
-@query("SELECT row_id, title FROM era_research_outputs_canonical WHERE research_output_type = 'Journal Article' AND (doi IS NULL OR doi_wellformed = FALSE) AND length(title) >= 15 ORDER BY row_id LIMIT 100")
+@query("SELECT row_id, title FROM era_research_outputs_canonical WHERE research_output_type = 'Journal Article' AND (doi IS NULL OR doi_wellformed = FALSE) AND length(title) >= 15")
 def title_search_targets(t):
-    return t.works.filter("research_output_type = 'Journal Article' AND (doi IS NULL OR doi_wellformed = false)").filter(F.length("title") >= 15).select("row_id", "title").orderBy("row_id").limit(100)
+    return t.works.filter("research_output_type = 'Journal Article' AND (doi IS NULL OR doi_wellformed = false)").filter(F.length("title") >= 15).select("row_id", "title")
 
 
 @query("SELECT * EXCLUDE (l_tax, l_discount) FROM lineitem WHERE l_quantity = 50")

@@ -200,9 +200,10 @@ def provenance_bridge(t):
     return s.join(i, "doi_normalized", "left").groupBy("canonical_id").agg(F.countDistinct("id").alias("n_submissions"), F.bool_or(F.coalesce("has", F.lit(False))).alias("indexed"))
 
 
-@query("""SELECT doc_id, doc_id % 3 = 0 AS several_versions FROM documents""")
+@query("""WITH l AS (SELECT DISTINCT trove_work_id, nullif(trove_category, '') AS v, nullif(trove_metadata_source, '') AS s FROM trove_title_candidates)
+SELECT trove_work_id, count(DISTINCT v) > 1 AS several_versions, count(DISTINCT s) > 1 AS several_sources, count(DISTINCT s) AS n_sources FROM l GROUP BY 1""")
 def version_drift(t):
-    """Version drift over locations built from the documents: two versions for every third one."""
-    v = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("submittedVersion"), F.lit("publishedVersion"))).otherwise(F.array(F.lit("publishedVersion")))
-    loc = F.transform(v, lambda x: F.struct(x.alias("version"), F.col("source").alias("source_name")))
-    return t.documents.select("doc_id", disparity.version_drift(loc)["several_versions"].alias("several_versions"))
+    """Drift over the locations of catalogue works: their categories and the sources that hold them."""
+    loc = F.collect_set(F.struct(F.col("trove_category").alias("version"), F.col("trove_metadata_source").alias("source_name")))
+    drift = t.trove.groupBy("trove_work_id").agg(loc.alias("l")).select("trove_work_id", disparity.version_drift(F.col("l")).alias("d"))
+    return drift.select("trove_work_id", "d.several_versions", "d.several_sources", F.size("d.sources").cast("long").alias("n_sources"))

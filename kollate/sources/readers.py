@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kollate.functions import text
+from kollate.session import cut
 
 RAW = "id long, type string, attributes struct<title: string, institution: string, `reference-year`: int, outlet: string, publisher: string, `other-details`: struct<isbn: string, issn: string, doi: string>>"
 
@@ -103,7 +104,7 @@ def read_tei(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             found = [f for p, c in zip(batch["path"], batch["content"]) if (f := parse_tei(p, bytes(c)))]
             yield pd.DataFrame(found, columns=["paper", "refs", "mentions"])
 
-    parsed = files.select("path", "content").mapInPandas(run, schema)
+    parsed = cut(files.select("path", "content").mapInPandas(run, schema), "parsed")
     return parsed.select("paper.*"), parsed.select(F.inline("refs")), parsed.select(F.inline("mentions"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: Rows a report may have; larger results are tables, not reports.
 REPORT_ROWS = 1000
@@ -16,7 +16,10 @@ def write_table(df: DataFrame, path: str, compression: str = "zstd", by: list[st
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A small result as one CSV file with a header in the folder ``path``; one of more than REPORT_ROWS rows is written as it lies, in
+    as many files as it has partitions."""
+    small = len(df.select(F.lit(1)).limit(REPORT_ROWS + 1).collect()) <= REPORT_ROWS
+    (df.coalesce(1) if small else df).write.mode("overwrite").csv(path, header=True)
 
 
 def markdown(df: DataFrame, title: str = "", note: str = "") -> str:
