@@ -89,7 +89,7 @@ b AS (SELECT r.id, s.eid, 'title' AS match_type, 2 AS src FROM {R} r JOIN scopus
 def _submission_matches(t):
     index = t.index.filter("eid IS NOT NULL")
     by_doi = t.raw.select("id", text.doi("doi").alias("k")).dropna().distinct().join(index.select(F.lower(F.trim("doi_normalized")).alias("k"), "eid").dropna().distinct(), "k").select("id", "eid", F.lit("doi").alias("match_type"))
-    titled = t.raw.select("id", text.plain_title("title").alias("k")).filter("length(k) >= 15").distinct()
+    titled = t.raw.filter(F.length(F.trim("title")) >= 15).select("id", text.plain_title("title").alias("k")).distinct()
     by_title = titled.join(index.select(text.plain_title("title").alias("k"), "eid").dropna().distinct(), "k").select("id", "eid", F.lit("title").alias("match_type"))
     return by_doi, by_title
 
@@ -213,13 +213,13 @@ def listed_works(t):
 
 
 @query(f"""{_LINK}, c AS (SELECT eid, max(citedby_count) AS cites FROM scopus_shard GROUP BY 1)
-SELECT canonical_id, eid, cites FROM m JOIN l USING (canonical_id) JOIN c USING (eid) WHERE cites > 40 AND reference_year = 2014 AND canonical_id IN (SELECT canonical_id FROM (SELECT canonical_id, unnest(source_ids) AS era_id FROM l) JOIN trove_title_candidates USING (era_id)) ORDER BY canonical_id LIMIT 5""")
+SELECT canonical_id, eid, cites FROM m JOIN l USING (canonical_id) JOIN c USING (eid) WHERE cites > 40 AND reference_year BETWEEN 2010 AND 2014 AND canonical_id IN (SELECT canonical_id FROM (SELECT canonical_id, unnest(source_ids) AS era_id FROM l) JOIN trove_title_candidates USING (era_id)) ORDER BY canonical_id LIMIT 5""")
 def audit_sample(t):
-    """The first five works of a year that two sources have and that are cited more than forty times."""
+    """The first five works of some years that two sources have and that are cited more than forty times."""
     cites = t.index.groupBy("eid").agg(F.max("citedby_count").alias("cites"))
     harvested = works(t).select("canonical_id", F.explode("source_ids").alias("era_id")).join(t.trove.select("era_id").dropna().distinct(), "era_id", "left_semi").select("canonical_id").distinct()
     rows = index_links(t).join(works(t).select("canonical_id", "reference_year"), "canonical_id").join(cites, "eid").join(harvested, "canonical_id", "left_semi")
-    return rows.filter("cites > 40 AND reference_year = 2014").select("canonical_id", "eid", "cites").orderBy("canonical_id").limit(5)
+    return rows.filter("cites > 40 AND reference_year BETWEEN 2010 AND 2014").select("canonical_id", "eid", "cites").orderBy("canonical_id").limit(5)
 
 
 @query(f"SELECT count(DISTINCT CAST(title_provenance AS VARCHAR)) AS n_codes, count(DISTINCT CAST(institutions AS VARCHAR)) AS n_lists FROM {W}")
