@@ -82,8 +82,9 @@ def names_by_agreement(t):
     return checked.select("row_id", "c.value", "c.wellformed", F.array_join("c.codes", ",").alias("codes"))
 
 
+#: The engines write a sigma at a word's end differently in small letters.
 _MATCHES = f"""a AS (SELECT r.id, s.eid, 'doi' AS match_type, 1 AS src FROM {R} r JOIN scopus_shard s ON {DOI.format('r.doi')} = lower(trim(s.doi_normalized)) WHERE s.eid IS NOT NULL),
-b AS (SELECT r.id, s.eid, 'title' AS match_type, 2 AS src FROM {R} r JOIN scopus_shard s ON lower(trim(r.title)) = lower(trim(s.title)) WHERE s.eid IS NOT NULL AND length(trim(r.title)) >= 15)"""
+b AS (SELECT r.id, s.eid, 'title' AS match_type, 2 AS src FROM {R} r JOIN scopus_shard s ON replace(lower(trim(r.title)), 'ς', 'σ') = replace(lower(trim(s.title)), 'ς', 'σ') WHERE s.eid IS NOT NULL AND length(trim(r.title)) >= 15)"""
 
 
 def _submission_matches(t):
