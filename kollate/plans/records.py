@@ -7,7 +7,7 @@ from kollate.operators import clean, disparity, records, references, resolve, ro
 from kollate.plans.linkage import DOI, WORKS, index_links, works
 from kollate.plans.linkage import _LINK
 from kollate.plans.registry import query
-from kollate.plans.scalars import _D10, _D13, _OK, _PRE
+from kollate.plans.scalars import _OK, _PRE
 
 W, R = "era_research_outputs_canonical", "era_research_outputs_raw"
 
@@ -26,7 +26,7 @@ def _processed(t):
 
 
 @query(f"""WITH d AS (SELECT DISTINCT id, institution, research_output_type, title, doi, isbn, outlet, publisher, reference_year FROM {R}),
-s AS (SELECT *, length(trim(doi)) > 0 AS dp, length(trim(title)) > 0 AS tp, lower(doi) AS v, regexp_replace(trim(isbn), '[^0-9Xx-]', '', 'g') AS bn, regexp_replace(trim(isbn), '[-\\s]', '', 'g') AS rawn FROM d),
+s AS (SELECT *, length(trim(doi)) > 0 AS dp, length(trim(title)) > 0 AS tp, lower(doi) AS v FROM d),
 p AS (SELECT *, regexp_replace(v, {_PRE}, '') AS s, trim(v) AS k, trim(regexp_replace(v, {_PRE}, '')) AS sk, regexp_full_match(v, {_OK}) AS fine FROM s)
 SELECT id, institution, CASE WHEN coalesce(dp, FALSE) THEN 'present' ELSE 'missing' END AS doi_presence, CASE WHEN dp THEN CASE WHEN fine THEN v ELSE sk END END AS doi, CASE WHEN dp THEN fine OR regexp_full_match(sk, {_OK}) END AS doi_wellformed,
   CASE WHEN dp AND NOT fine AND regexp_full_match(sk, {_OK}) THEN concat_ws(',', CASE WHEN NOT regexp_full_match(k, {_OK}) THEN 'S' END, CASE WHEN NOT regexp_full_match(s, {_OK}) THEN 'K' END) ELSE '' END AS doi_provenance,
@@ -240,14 +240,3 @@ SELECT DISTINCT who, nullif(upper(regexp_replace(CASE WHEN contains(x, ',') THEN
 def first_surnames(t):
     who = F.try_element_at("trove_contributor", F.lit(1))
     return t.trove.select(who.alias("who")).filter("who IS NOT NULL AND NOT contains(who, ';')").distinct().withColumn("surname", text.first_surname("who"))
-
-
-_BOOK = "regexp_replace(trim(isbn), '[^0-9Xx-]', '', 'g')"
-
-
-@query(f"""WITH n AS (SELECT row_id, isbn, regexp_replace(isbn, '[-\\s]', '', 'g') AS d, {_BOOK} AS m FROM {W} WHERE isbn IS NOT NULL), c AS (SELECT *, regexp_replace(m, '-', '', 'g') AS e FROM n)
-SELECT row_id, CASE WHEN regexp_full_match(d, '[0-9]{{9}}[0-9Xx]') THEN {_D10} ELSE FALSE END AS ten, CASE WHEN regexp_full_match(d, '[0-9]{{13}}') THEN {_D13} ELSE FALSE END AS thirteen FROM c""")
-def book_numbers(t):
-    from kollate.functions import checksum
-
-    return t.works.filter("isbn IS NOT NULL").select("row_id", checksum.isbn10(F.col("isbn")).alias("ten"), checksum.ean13(F.col("isbn")).alias("thirteen"))

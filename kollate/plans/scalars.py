@@ -77,7 +77,19 @@ def clean_doi(t):
     return cleaned.select("row_id", "c.value", "c.wellformed", F.array_join("c.codes", ",").alias("codes"))
 
 
-@query()
+def _book(column: str) -> str:
+    """Whether a text is a well-formed book number, for DuckDB."""
+    d = f"regexp_replace({column}, '[-\\s]', '', 'g')"
+    ten, thirteen = _D10.replace("d,", f"{d},"), _D13.replace("d,", f"{d},")
+    return f"(CASE WHEN regexp_full_match({d}, '[0-9]{{9}}[0-9Xx]') THEN {ten} WHEN regexp_full_match({d}, '[0-9]{{13}}') THEN {thirteen} ELSE FALSE END)"
+
+
+_SIGNS = "regexp_replace({0}, '[^0-9Xx-]', '', 'g')"
+
+
+@query(f"""WITH n AS (SELECT row_id, isbn, trim(isbn) AS k, {_SIGNS.format('trim(isbn)')} AS m, {_SIGNS.format('isbn')} AS r FROM {W} WHERE isbn IS NOT NULL),
+c AS (SELECT *, {_book('isbn')} AS fine, {_book('m')} AS mended, {_book('k')} AS by_k, {_book('r')} AS by_r FROM n)
+SELECT row_id, CASE WHEN fine THEN isbn ELSE m END AS value, fine OR mended AS wellformed, concat_ws(',', CASE WHEN NOT fine AND mended AND NOT by_r THEN 'K' END, CASE WHEN NOT fine AND mended AND NOT by_k THEN 'R' END) AS codes FROM c""")
 def clean_isbn(t):
     cleaned = t.works.filter("isbn is not null").select("row_id", clean.ISBN.clean(F.col("isbn")).alias("c"))
     return cleaned.select("row_id", "c.value", "c.wellformed", F.array_join("c.codes", ",").alias("codes"))
