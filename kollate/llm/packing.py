@@ -2,8 +2,8 @@
 
 A grouping genetic algorithm on islands. Items are spread by hash over shards of bounded size; for each
 shard and capacity several islands keep a population of packings. A crossover injects the best-filled
-containers of one packing whole into another, drops the containers that now hold an item twice, and puts
-the displaced items back best-fit, largest first. After an epoch the islands pass their elite on to the next
+containers of one packing whole into another, drops the containers that now hold an item twice, lets the others exchange
+an item for a larger displaced one that still fits, and puts what is left back best-fit, largest first. After an epoch the islands pass their elite on to the next
 island of the ring, through a shuffle; at the end each shard keeps its best packing. A shard whose
 packing reaches the lower bound is done and evolves no further. The least filled containers of all
 shards are then pooled and packed once more in fewer shards, and so on up a tree until one shard is left, so that sharding costs
@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from kollate.session import cut
 
 #: Items a shard has on average, islands of a shard, packings of an island, epochs and generations of one.
-SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4_000, 3, 6, 2, 12
+SHARD, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4_000, 3, 6, 2, 24
+#: Containers that a mutation dissolves, at least and at most, and rounds of exchange after it.
+DISSOLVED, EXCHANGES = (2, 8), 2
 #: Share of a shard's containers, the least filled, that are packed again with those of other shards.
 POOLED = 0.05
 #: Budgets there may be; every item is packed once for each.
@@ -66,6 +68,28 @@ def fitness(fill: list[int], capacity: int) -> float:
     return float((share * share).mean()) if len(fill) else 1.0
 
 
+def exchange(sizes: list[int], loose: list[int], capacity: int, bins: Bins, fill: list[int]) -> list[int]:
+    """Each container with room, the emptiest first, gives one item for the loose one that fills it best; returns what is loose then.
+
+    So the room gathers in what the loose items need, and whole containers come free."""
+    free = sorted((sizes[i], i) for i in loose)
+    find, put = bisect.bisect_left, bisect.insort
+    for k in sorted(range(len(fill)), key=fill.__getitem__):
+        room, gain = capacity - fill[k], 0
+        for at, item in enumerate(bins[k] if room else ()):
+            j = find(free, (sizes[item] + room + 1, -1)) - 1
+            if j >= 0 and free[j][0] - sizes[item] > gain:
+                gain, out, into = free[j][0] - sizes[item], at, j
+                if gain == room:
+                    break
+        if gain:
+            old = bins[k][out]
+            bins[k][out] = free.pop(into)[1]
+            fill[k] += gain
+            put(free, (sizes[old], old))
+    return [i for _, i in free]
+
+
 def crossover(sizes: list[int], mother: Packing, father: Packing, capacity: int, rng: random.Random) -> Packing:
     """Injects the father's fullest containers into the mother and repairs what that displaces."""
     fill = father[1]
@@ -74,14 +98,16 @@ def crossover(sizes: list[int], mother: Packing, father: Packing, capacity: int,
     inside = {i for k in chosen for i in father[0][k]}
     kept = [k for k, b in enumerate(mother[0]) if inside.isdisjoint(b)]
     # Mutation: a few of the emptier containers are dissolved as well.
-    for _ in range(rng.randint(1, 3)):
+    for _ in range(rng.randint(*DISSOLVED)):
         if kept:
             kept.pop(min(rng.sample(range(len(kept)), min(4, len(kept))), key=lambda k: mother[1][kept[k]]))
     bins = [list(father[0][k]) for k in chosen] + [list(mother[0][k]) for k in kept]
     filled = [fill[k] for k in chosen] + [mother[1][k] for k in kept]
     placed = inside.union(*(mother[0][k] for k in kept))
-    loose = sorted((i for i in range(len(sizes)) if i not in placed), key=sizes.__getitem__, reverse=True)
-    return best_fit(sizes, loose, capacity, bins, filled)
+    loose = [i for i in range(len(sizes)) if i not in placed]
+    for _ in range(EXCHANGES):
+        loose = exchange(sizes, loose, capacity, bins, filled)
+    return best_fit(sizes, sorted(loose, key=sizes.__getitem__, reverse=True), capacity, bins, filled)
 
 
 def evolve(sizes: list[int], capacity: int, population: list[Packing], generations: int, seed: int) -> list[Packing]:

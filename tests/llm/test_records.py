@@ -204,3 +204,13 @@ def test_genetic_steps_keep_every_item():
     best, fill = packing.evolve(sizes, 100, start, 30, 5)[0]
     assert sorted(i for b in best for i in b) == list(range(120)) and all(sum(sizes[i] for i in b) == f <= 100 for b, f in zip(best, fill))
     assert len(best) <= len(start[0][0])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_generations_of_a_run_save_containers(seed):
+    rng = random.Random(seed)
+    sizes = [min(511, 20 + int(rng.expovariate(1 / 160))) for _ in range(packing.SHARD)]
+    start = packing._start(sizes, 512, seed)
+    best, fill = packing.evolve(sizes, 512, start, packing.GENERATIONS, seed)[0]
+    assert sorted(i for b in best for i in b) == list(range(len(sizes))) and max(fill) <= 512
+    assert len(best) < min(len(p[0]) for p in start)
