@@ -16,6 +16,7 @@ posteriori one around ``PRIOR``, so that few labels, or none, give the same step
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ SHINGLE = 3
 WHOLE, MAIN, OPENING = (14, 8), (8, 8), (2, 10)
 #: Letters and digits of the openings by whose bands a cut title meets the whole one; shorter titles meet by the whole alone.
 OPENINGS = (12, 16, 24, 32, 48, 64, 96)
-#: Bits of a block key.
+#: Bits of a block key: the upper ones, so that in a shuffled row they stand beside the title's number, with zeros around both.
 KEY_BITS = 40
 #: Pairs of either weak label used; a third of them only to calibrate.
 SAMPLE = 10_000
@@ -64,21 +65,29 @@ _MEDIUM = r"(?i)\s*(\[[^\]]*\]|\((microform|electronic resource|online|computer
 #: Openings and endings that make another work of a title.
 OTHER_STARTS = ("review", "book", "reviews", "teachers", "teacher", "students", "student", "instructors", "instructor", "companion", "study", "index", "supplement", "abstracts", "abstract", "notes", "summary", "commentary")
 OTHER_WORK = r"^(review of|book review|reviews? on|(teachers?|students?|instructors?)'?s? (companion|guide|manual|handbook)( to)?|companion to|study guide( to)?|index to|supplement to|abstracts? of|notes on|summary of|commentary on)\b|\b(volume|vol|part|band|tome|tomo|book|pt|series|teil|том|τόμος)\.? ?([0-9]+|[ivx]+)\W*$"
+#: One of these is in every title that the second half of ``OTHER_WORK`` finds.
+PARTS = ("vol", "part", "band", "tom", "book", "pt", "series", "teil", "том", "τόμος")
 
 
 def _where(text: Column, signs: str | tuple[str, ...], pattern: str, to: str = "") -> Column:
     """Replaces a pattern where one of the signs occurs; elsewhere the text isn't searched."""
+    return F.when(_has(text, signs), F.regexp_replace(text, pattern, to)).otherwise(text)
+
+
+def _has(text: Column, signs: str | tuple[str, ...]) -> Column:
+    """Whether one of the signs occurs."""
     has = F.contains(text, F.lit(signs[0]))
     for sign in signs[1:]:
         has = has | F.contains(text, F.lit(sign))
-    return F.when(has, F.regexp_replace(text, pattern, to)).otherwise(text)
+    return has
 
 
 def plain_title(column: Column, catalogue: bool) -> Column:
     """Lower-case title without accents, and without a cataloguer's additions."""
     text = _where(_where(column, "/", _RESPONSIBILITY), "[(", _MEDIUM) if catalogue else column
     text = F.when(F.right(text, F.lit(4)).rlike(r"\.\.|…|�"), F.regexp_replace(text, r"\s*(\.\.+|…|�)\s*$", "")).otherwise(text)
-    low = F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")
+    low = F.lower(text)
+    low = F.when(_has(low, "\t\n\x0b\x0c\r"), F.translate(low, "\t\n\x0b\x0c\r", "     ")).otherwise(low)
     low = F.when(F.length(low) < F.octet_length(low), F.translate(low, *FOLD)).otherwise(low)
     return F.trim(_where(low, ("  ",), r"  +", " "))
 
@@ -105,6 +114,9 @@ def isbn_core(column: Column) -> Column:
     return F.when(F.length(digits) == 13, F.substring(digits, 4, 9)).when(F.length(digits) == 10, F.substring(digits, 1, 9))
 
 
+KEY_MASK = np.uint64((1 << 64) - (1 << (64 - KEY_BITS)))
+
+
 def band_keys(texts: list[str], bands: int, rows: int, seed: int) -> np.ndarray:
     """Band keys, one row per text: of each band, ``rows`` smallest hashes, each under a permutation of its own.
 
@@ -132,7 +144,7 @@ def band_keys(texts: list[str], bands: int, rows: int, seed: int) -> np.ndarray:
             np.multiply(base, mult | np.uint32(1), out=hashed)
             np.add(hashed, add, out=hashed)
             key = (key ^ np.minimum.reduceat(hashed, starts).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        keys[:, band] = (key >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+        keys[:, band] = (key & KEY_MASK).astype(np.int64)
     return keys
 
 
@@ -141,12 +153,14 @@ def _sign(side: str):
 
     Of works the part is the main one of a title with a subtitle, of the catalogue a title without one, so that titles
     which only share their main part don't meet. A work's title may be cut, so it is signed by the longest opening
-    it fills, and one of the catalogue by all it exceeds.
+    it fills, and one of the catalogue by all it exceeds. The marks of another work are part of the keys, since titles that
+    differ in them are never paired.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             t, whole = batch["t"].to_numpy(), batch["whole"].tolist()
+            odd = np.array([zlib.crc32(x.encode()) << 32 if x else 0 for x in batch["odd"]], np.uint64).astype(np.int64)
             main, head = [a[:n] for a, n in zip(whole, batch["main"])], [a[:n] for a, n in zip(whole, batch["head"])]
             parted = np.array([len(a) > len(b) + 3 for a, b in zip(whole, main)])
             alone = parted if side == "works" else ~parted
@@ -160,7 +174,7 @@ def _sign(side: str):
             for mask, texts, kind, (bands, rows) in signed:
                 if mask.any():
                     keys = band_keys([x for x, m in zip(texts, mask) if m], bands, rows, kind)
-                    yield pd.DataFrame({"t": np.repeat(t[mask], bands), "key": keys.ravel()})
+                    yield pd.DataFrame({"key": (keys ^ odd[mask][:, None]).ravel(), "t": np.repeat(t[mask], bands)})
 
     return run
 
@@ -176,30 +190,33 @@ def _bare(plain: str) -> Column:
 
 
 def _titles(records: DataFrame, name: str) -> DataFrame:
-    """(t, p, whole, main, head, odd) of every different plain title; ``p`` is its hash, ``main`` and ``head`` are how much of
-    the whole stands before a break and before a sure one, ``odd`` marks signs of another work."""
-    distinct = records.select("plain").distinct().withColumn("t", F.monotonically_increasing_id())
+    """(t, p, coded, whole, main, head, odd) of every different plain title; ``p`` is its hash, ``coded`` tells whether a record with
+    it is (false where records don't say), ``main`` and ``head`` are how much of the whole stands before a break and before a
+    sure one, ``odd`` marks signs of another work."""
+    coded = F.coalesce("coded", F.lit(False)) if "coded" in records.columns else F.lit(False)
+    distinct = records.groupBy("plain").agg(F.max(coded).alias("coded")).withColumn("t", F.monotonically_increasing_id())
     start, bare = F.substring_index("plain", " ", 1), _bare("plain")
-    may = F.regexp_replace(start, "[^a-z]", "").isin(*OTHER_STARTS) | F.right("plain", F.lit(3)).rlike("[0-9ivx]")
-    first = _once(distinct, ["t", "plain"], bare=bare, odd=F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise(""))
-    first = _once(first, ["t", "plain", "odd", "bare"], whole=squeezed(F.col("bare")), m=main_part(F.col("bare")), h=main_part(F.col("bare"), SURE_BREAKS))
+    may = F.regexp_replace(start, "[^a-z]", "").isin(*OTHER_STARTS) | (F.right("plain", F.lit(3)).rlike("[0-9ivx]") & _has(F.col("plain"), PARTS))
+    first = _once(distinct, ["t", "coded", "plain"], bare=bare, odd=F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise(""))
+    first = _once(first, ["t", "coded", "plain", "odd", "bare"], whole=squeezed(F.col("bare")), m=main_part(F.col("bare")), h=main_part(F.col("bare"), SURE_BREAKS))
     part = lambda c: F.length(F.when(F.length(c) == F.length("bare"), F.col("whole")).otherwise(squeezed(F.col(c))))
-    first = first.select("t", F.xxhash64("plain").alias("p"), "whole", part("m").alias("main"), part("h").alias("head"), "odd")
+    first = first.select("t", F.xxhash64("plain").alias("p"), "coded", "whole", part("m").alias("main"), part("h").alias("head"), "odd")
     return cut(first.filter("whole <> ''"), name)  # written once: the numbers must not change
 
 
 def candidate_titles(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r), with repeats: different titles of the two sides that share a block. Equal titles are one; partitions of many are split by AQE."""
-    a = left.select("t", "whole", "main", "head").mapInPandas(_sign("works"), "t long, key long").withColumnRenamed("t", "l")
-    b = right.select("t", "whole", "main", "head").mapInPandas(_sign("catalogue"), "t long, key long").withColumnRenamed("t", "r")
+    signed = lambda df, side, name: df.select("t", "whole", "main", "head", "odd").mapInPandas(_sign(side), "key long, t long").withColumnRenamed("t", name)
+    a, b = signed(left, "works", "l"), signed(right, "catalogue", "r")
     return a.join(b, "key").select("l", "r")
 
 
 def isbn_titles(w: DataFrame, c: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r): titles of works and catalogue rows that share an ISBN."""
+    """(l, r): titles of works and catalogue rows that share an ISBN; only titles with one are looked up."""
     a = w.filter("core is not null").select("core", "p").distinct()
     b = c.filter("size(isbns) > 0").select("p", F.explode("isbns").alias("isbn")).select("p", isbn_core(F.col("isbn")).alias("core")).dropna().distinct()
     met = spread_join(a.withColumnRenamed("p", "pl"), b.withColumnRenamed("p", "pr"), ["core"]).select("pl", "pr").distinct()
+    left, right = left.filter("coded"), right.filter("coded")
     return met.join(left.select(F.col("t").alias("l"), F.col("p").alias("pl")), "pl").join(right.select(F.col("t").alias("r"), F.col("p").alias("pr")), "pr").select("l", "r")
 
 
@@ -311,26 +328,32 @@ def calibrator(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return isotonic(scores, labels, weights)
 
 
+#: The lower half of a long.
+LOWER = (1 << 32) - 1
+
+
 def _openings(column: Column) -> list[Column]:
-    """The length of a title and hashes of its openings of ``STEMS`` signs."""
-    return [F.length(column).alias("n"), *[F.hash(F.left(column, F.lit(k))).alias(f"o{k}") for k in STEMS]]
+    """The length of a title and hashes of its openings of ``STEMS`` signs, two to a long."""
+    n, hashes = F.length(column).cast("long"), [F.hash(F.left(column, F.lit(k))).cast("long") for k in STEMS]
+    lower = lambda c: c.bitwiseAND(F.lit(LOWER))
+    return [F.shiftleft(hashes[0], 32).bitwiseOR(n).alias("opening"), F.shiftleft(hashes[1], 32).bitwiseOR(lower(hashes[2])).alias("openings")]
 
 
-def _uncut_first(pairs: DataFrame, mine: DataFrame) -> DataFrame:
-    """Pairs of works and catalogue titles without those by a cut title where a longer title of the work with the same opening shows
-    how it goes on. ``mine``: the works' rows with their titles' lengths and openings, of which the longest that is at most half as
+def _known_whole(cuts: DataFrame, mine: DataFrame) -> DataFrame:
+    """(canonical_id, pl) of the cut titles where a longer title of the work with the same opening shows how it goes on. ``cuts``:
+    canonical_id, p; ``mine``: the works' rows with their titles' lengths and openings, of which the longest that is at most half as
     long as the cut title must agree."""
-    cuts = pairs.filter("cut_off = 1").select("canonical_id", F.col("pl").alias("p")).distinct()
+    lower, upper = (lambda c: F.col(c).bitwiseAND(F.lit(LOWER))), (lambda c: F.shiftright(c, 32))
     names = ["n", *[f"o{k}" for k in STEMS]]
-    rows = mine.select("canonical_id", "p", *names).join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").distinct()
+    parts = [lower("opening"), upper("opening"), upper("openings"), lower("openings")]
+    rows = mine.join(cuts.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", "p", *[c.alias(n) for c, n in zip(parts, names)]).distinct()
     stems = rows.join(cuts, ["canonical_id", "p"])
     others = rows.select("canonical_id", *[F.col(c).alias(f"other_{c}") for c in names])
     same = F.lit(True)
     for k in STEMS:
         same = F.when(F.col("n") >= 2 * k, F.col(f"o{k}") == F.col(f"other_o{k}")).otherwise(same)
     known = stems.join(others, "canonical_id").filter((F.col("other_n") > F.col("n") + 3) & same)
-    known = known.select("canonical_id", F.col("p").alias("pl"), F.lit(1.0).alias("cut_off")).distinct()
-    return pairs.join(known, ["canonical_id", "pl", "cut_off"], "left_anti")
+    return known.select("canonical_id", F.col("p").alias("pl")).distinct()
 
 
 def _several(best: DataFrame) -> DataFrame:
@@ -365,11 +388,13 @@ def paired_works(features: DataFrame, w: DataFrame, c: DataFrame) -> DataFrame:
     mine = cut(w.join(wt.select("canonical_id").distinct(), "canonical_id", "left_semi"), "rows")
     # Sets of years have 600 members at most.
     years = mine.groupBy("canonical_id").agg(F.collect_set("year").alias("years"), F.bool_or(F.col("core").isNotNull()).alias("has_w"))
-    wt = wt.join(years, "canonical_id")
+    # A title that was cut says nothing where the work has it whole.
+    cuts = wt.join(features.filter("cut_off = 1").select("pl").distinct(), "pl", "left_semi").select("canonical_id", F.col("pl").alias("p"))
+    known = _known_whole(cuts, mine).withColumn("known", F.lit(True))
+    wt = wt.join(known, ["canonical_id", "pl"], "left").withColumn("known", F.coalesce("known", F.lit(False))).join(years, "canonical_id")
     issued = c.groupBy("trove_work_id").agg(F.collect_set("year").alias("issued"), F.bool_or(F.size("isbns") > 0).alias("has_c"))
     ct = c.join(features.select(F.col("pr").alias("p")).distinct(), "p", "left_semi").select("trove_work_id", F.col("p").alias("pr")).distinct().join(issued, "trove_work_id")
-    met = cut(spread_join(wt, features, ["pl"]), "works-by-title")
-    met = _uncut_first(met, mine)
+    met = cut(spread_join(wt, features, ["pl"]).filter(~(F.col("known") & (F.col("cut_off") == 1))).drop("known"), "works-by-title")
     met = met.withColumn("bucket", F.explode(_buckets("years", True)))
     ct = ct.withColumn("bucket", F.explode(_buckets("issued", False)))
     both = spread_join(met, ct, ["pr", "bucket"])
@@ -390,7 +415,8 @@ def scored_pairs(works: DataFrame, candidates: DataFrame) -> tuple[DataFrame, di
     w = cut(w.select("canonical_id", plain_title(F.col("title"), False).alias("plain"), F.when(F.col("reference_year").between(1500, 2100), F.col("reference_year")).alias("year"), isbn_core(F.col("isbn")).alias("core")).withColumn("p", F.xxhash64("plain")).select("*", *_openings(F.col("plain"))), "works")
     c = candidates.select("trove_work_id", plain_title(F.col("trove_title"), True).alias("plain"), _year("trove_issued").alias("year"), F.col("trove_isbns").alias("isbns")).filter("trove_work_id is not null").withColumn("p", F.xxhash64("plain"))
     c = cut(c, "candidates")
-    left, right = _titles(w.filter("plain is not null"), "left"), _titles(c.filter("plain is not null"), "right")
+    titled = lambda df, coded: df.filter("plain is not null").select("plain", F.expr(coded).alias("coded"))
+    left, right = _titles(titled(w, "core is not null"), "left"), _titles(titled(c, "size(isbns) > 0"), "right")
     w, c = w.drop("plain"), c.drop("plain")
     pairs = cut(candidate_titles(left, right).unionByName(isbn_titles(w, c, left, right)).distinct(), "blocks")
     features = cut(title_features(pairs, left, right, _tokens(left)), "title-pairs")

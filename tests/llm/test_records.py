@@ -134,6 +134,18 @@ def test_blocks_find_what_differs(spark, kind):
     assert np.mean([(wa[i], wb[i]) in met for i in range(len(titles))]) >= 0.9 and plain(a)
 
 
+def test_block_keys_are_upper_bits_and_tell_other_works_apart(spark):
+    keys = matching.band_keys(["grazing rights on common land", "a"], *matching.WHOLE, 1)
+    assert not (keys & ((1 << (64 - matching.KEY_BITS)) - 1)).any() and len(np.unique(keys)) == keys.size
+    title = "grazing rights and herders in the alpine commons of southern europe"
+    a = spark.createDataFrame([(title, False)], "plain string, coded boolean")
+    for other, blocks in (title, True), (title + " part 2", False), ("review of " + title, False), (title + "\tvol. ii", False):
+        b = spark.createDataFrame([(other, True)], "plain string, coded boolean").select(matching.plain_title(matching.F.col("plain"), True).alias("plain"), "coded")
+        left, right = matching._titles(a, "left"), matching._titles(b, "right")
+        assert (matching.candidate_titles(left, right).count() > 0) == blocks
+        assert [r.coded for r in left.collect()] == [False] and [r.coded for r in right.collect()] == [True]
+
+
 def test_confidence_comes_from_isbns(spark):
     """Labels are shared and unshared ISBNs; without any, the prior decides."""
     titles = catalogue()
