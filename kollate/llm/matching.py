@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kollate.llm import mojibake
 from kollate.operators.skew import spread_join
-from kollate.session import cut
+from kollate import session
 
 #: Signs of a shingle.
 SHINGLE = 3
@@ -33,8 +33,10 @@ SHINGLE = 3
 WHOLE, MAIN, OPENING = (14, 8), (8, 8), (2, 10)
 #: Letters and digits of the openings by whose bands a cut title meets the whole one; shorter titles meet by the whole alone.
 OPENINGS = (12, 16, 24, 32, 48, 64, 96)
-#: Bits of a block key: the upper ones, so that in a shuffled row they stand beside the title's number, with zeros around both.
+#: Bits of a block key, the upper ones.
 KEY_BITS = 40
+#: Keys of a title, about; keys that are sorted and packed at once, and those of a part, that are joined at once; pairs given on at once.
+KEYS, PACKED, PART, GIVEN = 25, 1_000_000, 300_000, 500_000
 #: Pairs of either weak label used; a third of them only to calibrate.
 SAMPLE = 10_000
 #: Works of one title issued further apart are different works.
@@ -52,6 +54,17 @@ STEMS = (6, 12, 32)
 EDITS, EDITS_LEAST = 0.08, 3
 
 
+def cut(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """``session.cut``, and the shuffle files behind the table go as soon as it is written; else they stay until the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return session.cut(df, name, *done)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def _folding() -> tuple[str, str]:
     """Accented letters and their bases, by rule, for a translation inside the JVM."""
     pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c))[0]) for c in range(0xC0, 0x600) if unicodedata.category(chr(c)) == "Ll" and len(unicodedata.normalize("NFKD", chr(c))) > 1]
@@ -63,9 +76,9 @@ FOLD = _folding()
 _RESPONSIBILITY = r"\s*/\s.*$"
 _MEDIUM = r"(?i)\s*(\[[^\]]*\]|\((microform|electronic resource|online|computer file|text|microfiche|sound recording|large print)\))"
 #: Openings and endings that make another work of a title.
-OTHER_STARTS = ("review", "book", "reviews", "teachers", "teacher", "students", "student", "instructors", "instructor", "companion", "study", "index", "supplement", "abstracts", "abstract", "notes", "summary", "commentary")
 OTHER_WORK = r"^(review of|book review|reviews? on|(teachers?|students?|instructors?)'?s? (companion|guide|manual|handbook)( to)?|companion to|study guide( to)?|index to|supplement to|abstracts? of|notes on|summary of|commentary on)\b|\b(volume|vol|part|band|tome|tomo|book|pt|series|teil|том|τόμος)\.? ?([0-9]+|[ivx]+)\W*$"
-#: One of these is in every title that the second half of ``OTHER_WORK`` finds.
+#: One of these begins every title that the first half of ``OTHER_WORK`` finds, and one of the others is in every one that the second half does.
+STARTS = ("review", "book review", "teacher", "student", "instructor", "companion to", "study guide", "index to", "supplement to", "abstract", "notes on", "summary of", "commentary on")
 PARTS = ("vol", "part", "band", "tom", "book", "pt", "series", "teil", "том", "τόμος")
 
 
@@ -98,10 +111,10 @@ def squeezed(column: Column) -> Column:
 
 
 #: What stands between a title and its subtitle, and what does so for certain.
-BREAKS, SURE_BREAKS = (": ", "; ", "? ", ". ", " - ", " – ", " — "), (": ", "; ", " - ", " – ", " — ")
+SURE_BREAKS, OTHER_BREAKS = (": ", "; ", " - ", " – ", " — "), ("? ", ". ")
 
 
-def main_part(column: Column, breaks: tuple[str, ...] = BREAKS) -> Column:
+def main_part(column: Column, breaks: tuple[str, ...]) -> Column:
     """What stands before the first break."""
     for sign in breaks[1:]:
         column = F.replace(column, F.lit(sign), F.lit(breaks[0]))
@@ -148,8 +161,8 @@ def band_keys(texts: list[str], bands: int, rows: int, seed: int) -> np.ndarray:
     return keys
 
 
-def _sign(side: str):
-    """Signs a batch of titles: the whole of each, the part that may stand alone, and openings.
+def _sign(batches: Iterator[pd.DataFrame], side: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, titles) of titles signed in batches: the whole of each, the part that may stand alone, and openings.
 
     Of works the part is the main one of a title with a subtitle, of the catalogue a title without one, so that titles
     which only share their main part don't meet. A work's title may be cut, so it is signed by the longest opening
@@ -157,28 +170,107 @@ def _sign(side: str):
     differ in them are never paired.
     """
 
+    for batch in batches:
+        t, whole = batch["t"].to_numpy(), batch["whole"].tolist()
+        odd = np.array([zlib.crc32(x.encode()) << 32 if x else 0 for x in batch["odd"]], np.uint64).astype(np.int64)
+        main, head = [a[:n] for a, n in zip(whole, batch["main"])], [a[:n] for a, n in zip(whole, batch["head"])]
+        parted = np.array([len(a) > len(b) + 3 for a, b in zip(whole, main)])
+        alone = parted if side == "works" else ~parted
+        tight = [a.replace(" ", "") for a in whole]
+        fills = np.searchsorted(OPENINGS, [len(a) for a in tight], side="right")
+        signed = [(np.ones(len(t), bool), whole, 1, WHOLE), (alone, main if side == "works" else whole, 2, MAIN)]
+        if side == "works":  # what stands before a sure break, where an earlier break may be none
+            signed.append((np.array([len(b) + 3 < len(h) < len(a) - 3 for a, b, h in zip(whole, main, head)]), head, 2, MAIN))
+        for i, n in enumerate(OPENINGS):
+            signed.append((fills == i + 1 if side == "works" else fills > i, [a[:n] for a in tight], 3 + i, OPENING))
+        for mask, texts, kind, (bands, rows) in signed:
+            if mask.any():
+                keys = band_keys([x for x, m in zip(texts, mask) if m], bands, rows, kind)
+                yield (keys ^ odd[mask][:, None]).ravel(), np.repeat(t[mask], bands)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, of which as many are kept as the largest needs."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes) // n] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    return out.view("<u8").ravel()
+
+
+PACKED_ROW = "part int, side int, n int, key long, t long, keys binary, titles binary"
+
+
+def pack(keys: np.ndarray, titles: np.ndarray, side: int, parts: int) -> pd.DataFrame:
+    """Rows of many keys and titles each. A part is a range of keys; its keys are sorted, and the steps between them are kept."""
+    keys = keys.view(np.uint64) >> np.uint64(64 - KEY_BITS)
+    order = np.argsort(keys)
+    keys, titles = keys[order], titles[order]
+    edges = np.searchsorted(keys, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(KEY_BITS)) // np.uint64(parts))
+    rows = []
+    for part in np.flatnonzero(np.diff(edges)):
+        k, t = keys[edges[part] : edges[part + 1]], titles[edges[part] : edges[part + 1]]
+        rows.append((part, side, len(k), int(k[0]), int(t.min()), _planes(np.diff(k, prepend=k[:1])), _planes(t - t.min())))
+    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in PACKED_ROW.split(", ")])
+
+
+def unpack(row) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in rising order, and titles, of a packed row."""
+    return np.cumsum(_numbers(row.keys, row.n)) + np.uint64(row.key), _numbers(row.titles, row.n).astype(np.int64) + row.t
+
+
+def _packed(side: str, parts: int):
+    """Signs titles and packs what came of many batches."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            t, whole = batch["t"].to_numpy(), batch["whole"].tolist()
-            odd = np.array([zlib.crc32(x.encode()) << 32 if x else 0 for x in batch["odd"]], np.uint64).astype(np.int64)
-            main, head = [a[:n] for a, n in zip(whole, batch["main"])], [a[:n] for a, n in zip(whole, batch["head"])]
-            parted = np.array([len(a) > len(b) + 3 for a, b in zip(whole, main)])
-            alone = parted if side == "works" else ~parted
-            tight = [a.replace(" ", "") for a in whole]
-            fills = np.searchsorted(OPENINGS, [len(a) for a in tight], side="right")
-            signed = [(np.ones(len(t), bool), whole, 1, WHOLE), (alone, main if side == "works" else whole, 2, MAIN)]
-            if side == "works":  # what stands before a sure break, where an earlier break may be none
-                signed.append((np.array([len(b) + 3 < len(h) < len(a) - 3 for a, b, h in zip(whole, main, head)]), head, 2, MAIN))
-            for i, n in enumerate(OPENINGS):
-                signed.append((fills == i + 1 if side == "works" else fills > i, [a[:n] for a in tight], 3 + i, OPENING))
-            for mask, texts, kind, (bands, rows) in signed:
-                if mask.any():
-                    keys = band_keys([x for x, m in zip(texts, mask) if m], bands, rows, kind)
-                    yield pd.DataFrame({"key": (keys ^ odd[mask][:, None]).ravel(), "t": np.repeat(t[mask], bands)})
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for signed in _sign(batches, side):
+            held.append(signed)
+            if sum(len(k) for k, _ in held) >= PACKED:
+                yield pack(*map(np.concatenate, zip(*held)), int(side == "works"), parts)
+                held = []
+        if held:
+            yield pack(*map(np.concatenate, zip(*held)), int(side == "works"), parts)
 
     return run
 
 
+def _met(left: list, right: list, given: int) -> Iterator[pd.DataFrame]:
+    """(l, r) of the keys that packed rows of the two sides share, ``given`` at once, or as many as one title meets."""
+    if not left or not right:
+        return
+    (lk, lt), (rk, rt) = (map(np.concatenate, zip(*map(unpack, rows))) for rows in (left, right))
+    order = np.argsort(rk)
+    rt = rt[order]
+    known, starts, counts = np.unique(rk[order], return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(known, lk), len(known) - 1)
+    hit = known[at] == lk
+    l, starts, counts = lt[hit], starts[at[hit]], counts[at[hit]]
+    ends, i = np.cumsum(counts), 0
+    while i < len(l):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + given, side="right")))
+        n = counts[i:j]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield pd.DataFrame({"l": np.repeat(l[i:j], n), "r": rt[np.repeat(starts[i:j], n) + inside]})
+        i = j
+
+
+def meet(batches: Iterator[pd.DataFrame], most: int = PART, given: int = GIVEN) -> Iterator[pd.DataFrame]:
+    """(l, r) of packed rows in the order of part and side: the catalogue's rows of a part are held, the works' pass by,
+    ``most`` keys or one row at once."""
+    part, left, right = None, [], []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if row.part != part or sum(x.n for x in left) >= most:
+                yield from _met(left, right, given)
+                part, left, right = row.part, [], right if row.part == part else []
+            (left if row.side else right).append(row)
+    yield from _met(left, right, given)
+
+
 def _once(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
     """The kept columns and new ones, each computed once: the planner would copy them into every use."""
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
@@ -195,20 +287,30 @@ def _titles(records: DataFrame, name: str) -> DataFrame:
     sure one, ``odd`` marks signs of another work."""
     coded = F.coalesce("coded", F.lit(False)) if "coded" in records.columns else F.lit(False)
     distinct = records.groupBy("plain").agg(F.max(coded).alias("coded")).withColumn("t", F.monotonically_increasing_id())
-    start, bare = F.substring_index("plain", " ", 1), _bare("plain")
-    may = F.regexp_replace(start, "[^a-z]", "").isin(*OTHER_STARTS) | (F.right("plain", F.lit(3)).rlike("[0-9ivx]") & _has(F.col("plain"), PARTS))
-    first = _once(distinct, ["t", "coded", "plain"], bare=bare, odd=F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise(""))
-    first = _once(first, ["t", "coded", "plain", "odd", "bare"], whole=squeezed(F.col("bare")), m=main_part(F.col("bare")), h=main_part(F.col("bare"), SURE_BREAKS))
-    part = lambda c: F.length(F.when(F.length(c) == F.length("bare"), F.col("whole")).otherwise(squeezed(F.col(c))))
-    first = first.select("t", F.xxhash64("plain").alias("p"), "coded", "whole", part("m").alias("main"), part("h").alias("head"), "odd")
+    may = F.right("plain", F.lit(3)).rlike("[0-9ivx]") & _has(F.col("plain"), PARTS)
+    for start in STARTS:
+        may = may | F.startswith(F.col("plain"), F.lit(start))
+    first = _once(distinct, ["t", "coded", "plain"], bare=_bare("plain"), odd=F.when(may, F.regexp_extract("plain", OTHER_WORK, 0)).otherwise(""))
+    # A break is no letter, so the pieces that the first breaks divide are squeezed each by itself.
+    kept = ["t", "coded", "plain", "odd"]
+    first = _once(first, [*kept, "bare"], h=main_part(F.col("bare"), SURE_BREAKS))
+    first = _once(first, [*kept, "bare", "h"], m=main_part(F.col("h"), OTHER_BREAKS))
+    after = lambda c, part: F.substring(c, F.length(part) + 1, F.length(c))
+    tidy = lambda c: F.when(c == "", "").otherwise(squeezed(c))
+    first = _once(first, kept, x=tidy(F.col("m")), y=tidy(after(F.col("h"), F.col("m"))), z=tidy(after(F.col("bare"), F.col("h"))))
+    joined = lambda a, b: F.when(a == "", b).when(b == "", a).otherwise(F.concat(a, F.lit(" "), b))
+    first = _once(first, [*kept, "x", "z"], xy=joined(F.col("x"), F.col("y")))
+    first = first.select("t", F.xxhash64("plain").alias("p"), "coded", joined(F.col("xy"), F.col("z")).alias("whole"), F.length("x").alias("main"), F.length("xy").alias("head"), "odd")
     return cut(first.filter("whole <> ''"), name)  # written once: the numbers must not change
 
 
 def candidate_titles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r), with repeats: different titles of the two sides that share a block. Equal titles are one; partitions of many are split by AQE."""
-    signed = lambda df, side, name: df.select("t", "whole", "main", "head", "odd").mapInPandas(_sign(side), "key long, t long").withColumnRenamed("t", name)
-    a, b = signed(left, "works", "l"), signed(right, "catalogue", "r")
-    return a.join(b, "key").select("l", "r")
+    """(l, r), with repeats: different titles of the two sides that share a block. Equal titles are one; parts are as many as titles ask for.
+
+    Keys are sorted and joined in bulk; rows of one key each would be twice as large in the shuffle."""
+    parts = 1 + KEYS * (left.count() + right.count()) // PART
+    a, b = (df.select("t", "whole", "main", "head", "odd").mapInPandas(_packed(side, parts), PACKED_ROW) for df, side in ((left, "works"), (right, "catalogue")))
+    return a.unionByName(b).repartition("part").sortWithinPartitions("part", "side").mapInPandas(meet, "l long, r long")
 
 
 def isbn_titles(w: DataFrame, c: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Matching, consensus and packing."""
 
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from kollate.llm import consensus, matching, packing
@@ -146,6 +148,52 @@ def test_block_keys_are_upper_bits_and_tell_other_works_apart(spark):
         assert [r.coded for r in left.collect()] == [False] and [r.coded for r in right.collect()] == [True]
 
 
+def test_block_keys_travel_packed():
+    """Packed rows give back every key and title in less than the 16 bytes of a row halved, and meet as their keys do, hot ones as well."""
+    rng = np.random.default_rng(4)
+    keys = (rng.integers(0, 2**40, 200_000) << 24).astype(np.int64)
+    titles = (5 << 33) + rng.integers(0, 40_000, len(keys))
+    packed = matching.pack(keys, titles, 1, 7)
+    assert sorted(packed["part"]) == list(range(7)) and packed["keys"].map(len).sum() + packed["titles"].map(len).sum() < 8 * len(keys)
+    back = [matching.unpack(r) for r in packed.itertuples(index=False)]
+    assert sorted((int(k), int(t)) for ks, ts in back for k, t in zip(ks, ts)) == sorted(zip((keys.view(np.uint64) >> np.uint64(24)).tolist(), titles.tolist()))
+    # Keys of either end, of one side alone, and one key that all titles have.
+    few = np.array([0, 3, 2**39, 2**40 - 1, 7, 7, 7]) << 24
+    l = [(few.astype(np.int64), np.arange(7) + 100 * i) for i in range(30)]
+    r = [(few[[0, 3, 4, 5]].astype(np.int64), np.arange(4) + 1000 + 100 * i) for i in range(4)]
+    rows = pd.concat([matching.pack(k, t, side, 3) for side, many in ((1, l), (0, r)) for k, t in many]).sort_values(["part", "side"])
+    got = list(matching.meet(iter([rows.iloc[:50], rows.iloc[50:]]), most=40, given=50))
+    assert max(map(len, got)) <= 50 and got[0].dtypes.tolist() == [np.int64, np.int64]
+    brute = sorted((a, b) for lk, lt in l for k, a in zip(lk, lt) for rk, rt in r for q, b in zip(rk, rt) if k == q)
+    assert sorted(map(tuple, pd.concat(got).to_numpy().tolist())) == brute and len(brute) == 30 * 4 * (2 + 6)
+    assert not list(matching.meet(iter([]))) and not list(matching.meet(iter([rows[rows["side"] == 1]])))
+
+
+def test_shuffle_files_go_with_their_table(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        found = disk.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key)
+    table = matching.cut(spark.range(20_000).groupBy((matching.F.col("id") % 999).alias("k")).count(), "grouped")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 999 and spark.conf.get(key) == kept
+
+
+def test_parts_of_a_title_are_prefixes_of_its_whole(spark):
+    titles = ["the water - its uses: a history. vol. 2", "soils? a survey; with maps", ". odd", "plain", "a. - b", "an end: ", "日本: 歴史 - 都市", "the"]
+    got = matching._titles(spark.createDataFrame([(t,) for t in titles], "plain string"), "parts").collect()
+    found = {(r.whole, r.whole[: r.main], r.whole[: r.head]) for r in got}
+    assert found == {("water its uses a history vol 2", "water", "water"), ("soils a survey with maps", "soils", "soils a survey"), ("odd", "", "odd"), ("plain", "plain", "plain"), ("a b", "a", "a"),
+                     ("end", "end", "end"), ("日本 歴史 都市", "日本", "日本"), ("the", "the", "the")}
+
+
 def test_confidence_comes_from_isbns(spark):
     """Labels are shared and unshared ISBNs; without any, the prior decides."""
     titles = catalogue()
